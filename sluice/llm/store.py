@@ -1,0 +1,46 @@
+"""Shared storage for results that are read more than once."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where that setting is missing (a local session) is a temporary folder
+    made and set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        found = tempfile.mkdtemp(prefix="sluice-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended already
+        pass
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under folder() and return it read back.
+
+    This cuts the lineage with files that survive the loss of executors. The
+    files go when the driver's Python exits.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
