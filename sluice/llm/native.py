@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A word: digits, ASCII letters and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words; words are digits, ASCII letters and everything beyond ASCII.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: White space that is stripped from the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -21,5 +21,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, lower-cased (A-Z only); none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    """The words of a text, lower-cased (A-Z only); none for null.
+
+    Splitting at the gaps is far faster than extracting the words, which copies
+    the text for every match.
+    """
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAPS, -1), "")
