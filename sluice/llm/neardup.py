@@ -1,0 +1,182 @@
+"""MinHash near-deduplication: improved consistent weighted sampling over TF-IDF shingles.
+
+A text is a bag of five-word shingles with weights (1 + ln tf) x idf. A sample
+picks the shingle with the smallest a = c / (y e^r), where r and c are
+Gamma(2, 1) and beta uniform by shingle and sample, t = floor(ln w / r + beta) and
+y = e^(r (t - beta)); two texts pick the same (shingle, t) with a probability
+equal to their weighted Jaccard similarity (Ioffe, 2010). Bands of samples give
+candidates, which the weighted Jaccard similarity itself verifies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluice.llm import links, vectors
+
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
+RARE, LIFT = 1000, 0.25
+SAMPLES = BANDS * ROWS
+U32, U64 = np.uint32, np.uint64
+
+#: Random variates by 16 hashed bits; each sample permutes the shingles differently.
+_SIZE = 1 << 16
+_random = np.random.Generator(np.random.PCG64(2010))
+_R = _random.gamma(2.0, 1.0, _SIZE)
+_LNC = np.log(_random.gamma(2.0, 1.0, _SIZE))
+_BETA = _random.random(_SIZE)
+_A = (vectors.stream(21, SAMPLES) >> U64(32)).astype(U32) | U32(1)
+_B = (vectors.stream(22, SAMPLES) >> U64(32)).astype(U32)
+_TOP = 1 + LIFT
+
+
+def _ln_a(at: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
+    """ln a as sortable 32-bit numbers in the high half of 64."""
+    r, beta = _R[at], _BETA[at]
+    t = np.floor(ln_w / r + beta)
+    bits = (_LNC[at] - r * (t - beta) - r).astype(np.float32).view(U32)
+    return np.where(bits >> U32(31), ~bits, bits | U32(1 << 31)).astype(U64) << U64(32)
+
+
+_BASE = _ln_a(np.arange(_SIZE), np.full(_SIZE, np.log(_TOP)))
+
+
+class Idf:
+    """idf by shingle: 1 + LIFT ln(n / df) / ln RARE, df at least n / RARE.
+
+    frequent holds the sorted hashes of the shingles in more than one text in
+    RARE, at most RARE x the mean number of shingles of a text, however many
+    texts there are.
+    """
+
+    def __init__(self, n: int, hashes: np.ndarray, df: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.values = 1 + LIFT * np.log(np.clip(n / np.maximum(df[order], 1), 1, RARE)) / np.log(RARE)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), _TOP)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] = self.values[at[known]]
+        return out
+
+
+def bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """first, places, hashes, tf for groups of texts: the distinct shingles of each, sorted."""
+    data, offsets = vectors.raw(texts)
+    for first, end, part, at in vectors.groups(data, offsets):
+        hashes, places = vectors.shingles(*vectors.word_hashes(part, at), WORDS)
+        owner = np.repeat(np.arange(end - first), np.diff(places))
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(fresh)
+        yield first, np.searchsorted(owner[at], np.arange(end - first + 1)), hashes[at], np.diff(at, append=len(hashes))
+
+
+def idf(docs: DataFrame, text: str = "text") -> Idf:
+    """Document frequencies over all of docs, to within one text in RARE.
+
+    A shingle in more than n / RARE of all texts is in more than m / RARE of the m
+    texts of some partition, so each partition sends only those; what the others
+    hold back is less than n / RARE in sum.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen, times = 0, np.zeros(0, U64), np.zeros(0, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, hashes, _ in bags(batch.column(0)):
+                new, more = np.unique(hashes, return_counts=True)
+                both = np.concatenate([seen, new])
+                order = np.argsort(both, kind="stable")
+                both, sums = both[order], np.concatenate([times, more])[order]
+                at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+                seen, times = both[at], np.add.reduceat(sums, at) if len(at) else sums
+                if len(seen) > 4_000_000:  # as in lossy counting: what is rare so far is let go
+                    keep = times * RARE > n
+                    seen, times = seen[keep], times[keep]
+        keep = (times * RARE > n) & (times > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), 0)), pa.array(np.append(times[keep], n)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["hash", "df", "total"])
+
+    sent = docs.select(F.col(text).cast("string")).mapInArrow(count, "hash bigint, df bigint, total boolean")
+    sums = sent.groupBy("hash", "total").agg(F.sum("df").alias("df"))
+    n = docs.count()
+    found = sums.where((~F.col("total")) & (F.col("df") * RARE > n)).select("hash", "df").toArrow()
+    return Idf(n, found["hash"].to_numpy().view(U64), found["df"].to_numpy())
+
+
+def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """texts x SAMPLES: the (a, shingle) picked by each sample, for texts that have shingles."""
+    x = (hashes >> U64(32)).astype(U32)
+    other = np.flatnonzero(weights != _TOP)
+    ln_w, x_other, low = np.log(weights[other]), x[other], x.astype(U64)
+    starts = places[:-1]
+    out = np.empty((SAMPLES, len(starts)), U64)
+    for k in range(SAMPLES):
+        value = _BASE[(x * _A[k] + _B[k]) >> U32(16)]
+        if len(other):
+            value[other] = _ln_a((x_other * _A[k] + _B[k]) >> U32(16), ln_w)
+        value |= low
+        np.minimum.reduceat(value, starts, out=out[k])
+    return out.T
+
+
+def weighted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The weighted Jaccard similarity of two bags of sorted hashes."""
+    (x, v), (y, w) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    if not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    shared = np.minimum(v[at[same]], w[same]).sum()
+    return float(shared / (v.sum() + w.sum() - shared))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """key, class_id, copy_of, n_links for every row of docs; see links.classes.
+
+    Texts are near duplicates at a weighted Jaccard similarity of `similarity`
+    or more. idf lies between 1 and 1 + LIFT, so that a group of copies, however
+    large, does not weigh its own shared shingles down.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(idf(docs, text))
+
+    def bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nodes, hashed = np.zeros(len(texts), U64), np.zeros((len(texts), BANDS), U64)
+        for first, places, hashes, tf in bags(texts):
+            full = np.flatnonzero(np.diff(places))
+            with np.errstate(over="ignore"):
+                nodes[first : first + len(places) - 1] = links.digests(vectors.mix(hashes) + tf.astype(U64), places)
+            if len(full):
+                weights = (1 + np.log(tf)) * table.value(hashes)
+                hashed[first + full] = links.band(samples(hashes, weights, np.append(places[full], len(hashes))), BANDS)
+        return nodes, hashed
+
+    def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for _, places, hashes, tf in bags(texts):
+            weights = (1 + np.log(tf)) * table.value(hashes)
+            out += [(hashes[a:b], weights[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+        return out
+
+    return links.classes(docs, bands, features, weighted, key, text, similarity)
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each near-duplicate class: that of its smallest key.
+
+    Rows that repeat a key with the same text stay once; rows with null keys stay.
+    """
+    found = near_duplicates(docs, key, text, similarity)
+    kept = found.where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
+    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
