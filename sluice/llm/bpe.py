@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bounds of what a worker keeps; beyond them it starts anew. They change no result.
-MAX_STATES, MAX_WORDS, MAX_WORD_CHARS = 200_000, 300_000, 48
+#: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES steps
+#: are made without being kept; of pre-tokens the last two lots of MAX_WORDS are.
+MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 150_000, 200_000, 300_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,40 +41,83 @@ class Merges:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.beginnings = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._fit: dict[tuple[bytes, bytes], bool] = {}
-        self._whole: dict[bytes, bool] = {}
+        self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self._edges: dict[tuple[bytes, bool], list[tuple[int, bytes]]] = {}
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """The encoding by its definition: the pair of lowest rank merges first."""
+    def merge(self, data: bytes, upto: int = 1) -> list[bytes]:
+        """The encoding by its definition: the pair of lowest rank merges first.
+
+        upto: stop when so many parts are left.
+        """
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > upto:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge makes the token; None where its bytes never become it."""
+        if token not in self._halves:
+            parts = self.merge(token, 2)
+            self._halves[token] = tuple(parts) if len(parts) == 2 else None
+        return self._halves[token]
+
     def whole(self, token: bytes) -> bool:
         """Whether the token's bytes encode to the token."""
-        if (found := self._whole.get(token)) is None:
-            found = self._whole[token] = self.merge(token) == [token]
+        return len(token) == 1 or self.halves(token) is not None
+
+    def edge(self, token: bytes, right: bool) -> list[tuple[int, bytes]]:
+        """The parts that stand at one end of a token while it is merged, in order, with their ranks."""
+        if (found := self._edges.get((token, right))) is None:
+            part, found = token, []
+            while len(part) > 1:
+                found.append((self.ranks[part], part))
+                part = self.halves(part)[right]
+            found.append((-1, part))
+            found.reverse()
+            self._edges[token, right] = found
         return found
 
     def fit(self, a: bytes, b: bytes) -> bool:
-        if (found := self._fit.get((a, b))) is None:
-            if len(self._fit) > 1_000_000:
-                self._fit.clear()
-            found = self._fit[a, b] = self.merge(a + b) == [a, b]
+        """Whether token b can stand after token a (or first, where a is empty)."""
+        found = self.whole(b) and (not a or self._fit(a, b))
+        if len(self.fits) < MAX_FITS:
+            self.fits[a, b] = found
         return found
 
+    def _fit(self, a: bytes, b: bytes) -> bool:
+        """Whether the merges leave the bytes of a and b as just these two tokens.
+
+        They do unless, at some time, the parts on both sides of the border make a
+        token that merges before either of them grows.
+        """
+        left, right, ranks = self.edge(a, True), self.edge(b, False), self.ranks
+        i, j, never = 0, 0, 1 << 60
+        while True:
+            rank = ranks.get(left[i][1] + right[j][1], never)
+            grow_left = left[i + 1][0] if i + 1 < len(left) else never
+            grow_right = right[j + 1][0] if j + 1 < len(right) else never
+            if rank < grow_left and rank <= grow_right and rank < never:
+                return False
+            if grow_left == grow_right == never:
+                return True
+            if grow_left <= grow_right:
+                i += 1
+            else:
+                j += 1
+
 
 class State:
-    """The token emitted last, the bytes since, and for each of their prefixes the last token."""
+    """The token emitted last, the bytes since, for each of their prefixes the last
+    token, and the places from which a longer token may still come."""
 
-    __slots__ = ("before", "pending", "last", "step", "rest")
+    __slots__ = ("before", "pending", "last", "live", "step", "rest")
 
-    def __init__(self, before: bytes, pending: bytes, last: tuple[bytes, ...]):
-        self.before, self.pending, self.last = before, pending, last
+    def __init__(self, before: bytes, pending: bytes, last: tuple[bytes, ...], live: tuple[int, ...]):
+        self.before, self.pending, self.last, self.live = before, pending, last, live
         self.step: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.rest: tuple[int, ...] | None = None
 
@@ -82,12 +126,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.states: dict[tuple[bytes, bytes], State] = {}
-        self.start = self._state(b"", b"", ())
-
-    def _state(self, before: bytes, pending: bytes, last: tuple[bytes, ...]) -> State:
-        if (found := self.states.get((before, pending))) is None:
-            found = self.states[before, pending] = State(before, pending, last)
-        return found
+        self.start = self.states[b"", b""] = State(b"", b"", (), ())
 
     @staticmethod
     def _path(last: tuple[bytes, ...], k: int) -> list[int]:
@@ -99,36 +138,47 @@ class Transducer:
         return path
 
     def _advance(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        m, data = self.merges, state.pending + bytes((byte,))
-        n = len(data)
-        for k in range(max(0, n - m.longest), n):
-            token = data[k:]
-            left = state.last[k - 1] if k else state.before
-            if token in m.ranks and m.whole(token) and (not left or m.fit(left, token)):
-                break
-        else:
+        m, data, last, token = self.merges, state.pending + bytes((byte,)), state.last, None
+        n, ranks, beginnings = len(data), m.ranks, m.beginnings
+        live, fits = [], m.fits
+        for k in (*state.live, n - 1):  # no token can come from another place
+            end = data[k:]
+            if end in beginnings:
+                live.append(k)
+            if token is None and end in ranks:
+                left = last[k - 1] if k else state.before
+                if (fit := fits.get((left, end))) is None:
+                    fit = m.fit(left, end)
+                if fit:
+                    token = end
+        if token is None:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        last = (*state.last, token)
-        common = None
-        for k in range(max(0, n - m.longest), n + 1):
-            if k == n or data[k:] in m.beginnings:
-                path = self._path(last, k)
-                common = set(path) if common is None else common & set(path)
-        cut = max(common)
-        ends = [k for k in reversed(self._path(last, cut)) if k]
-        sent = tuple(m.ranks[last[k - 1]] for k in ends)
-        before = last[cut - 1] if cut else state.before
-        found = state.step[byte] = self._state(before, data[cut:], last[cut:]), sent
-        return found
+        last = (*last, token)
+        # The deepest place that the ways back from all live places share.
+        path = self._path(last, n)
+        cut = n
+        for k in live:
+            while k not in path:
+                k -= len(last[k - 1])
+            cut = min(cut, k)
+        sent = tuple([ranks[last[k - 1]] for k in reversed(path) if 0 < k <= cut])
+        at = last[cut - 1] if cut else state.before, data[cut:]
+        if (after := self.states.get(at)) is None:
+            after = State(*at, last[cut:], tuple(k - cut for k in live))
+            if len(self.states) < MAX_STATES:
+                self.states[at] = after
+        if len(self.states) < MAX_STATES:
+            state.step[byte] = after, sent
+        return after, sent
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
-        if len(self.states) > MAX_STATES:
-            self.states.clear()
-            self.start = self._state(b"", b"", ())
         state, ids = self.start, []
         for byte in data:
-            state, sent = state.step.get(byte) or self._advance(state, byte)
+            if byte in state.step:
+                state, sent = state.step[byte]
+            else:
+                state, sent = self._advance(state, byte)
             if sent:
                 ids += sent
         if state.rest is None:
@@ -174,17 +224,19 @@ class Codec:
         self.bytes = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.bytes}
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        words, encode = self.words, self.transducer.encode
+        words = self.words
         for word in self.split(text):
             found = words.get(word)
             if found is None:
-                found = encode(word.encode())
+                found = self.older.get(word) or self.transducer.encode(word.encode())
                 if len(word) <= MAX_WORD_CHARS:
                     if len(words) >= MAX_WORDS:
-                        words.clear()
+                        self.older, self.words = words, {}
+                        words = self.words
                     words[word] = found
             ids += found
         return ids

@@ -85,6 +85,8 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
         rest = members.join(near.select(F.col("leader").alias("n_leader"), F.col("node").alias("n_node")), (F.col("leader") == F.col("n_leader")) & (F.col("node") == F.col("n_node")), "left_anti")
         rest = materialize(rest.select("node", "ord", "bucket"), "rest")
         # Only a bucket that still holds two can give another pair.
+        import os
+        if os.environ.get('DBG'): print('round',members.count(),pairs.count(),near.count(),rest.count(),rest.groupBy('bucket').count().where('count>1').count(),flush=True)
         if not rest.groupBy("bucket").count().where("count > 1").limit(1).count():
             break
         buckets = rest

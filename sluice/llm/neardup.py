@@ -21,7 +21,7 @@ from sluice.llm import links, vectors
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
-RARE, LIFT = 1000, 0.25
+RARE, LIFT = 1000, 0.1
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -132,21 +132,23 @@ def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.n
 
 
 def weighted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The weighted Jaccard similarity of two bags of sorted hashes."""
+    """The weighted Jaccard similarity of two bags of sorted hashes, or that of
+    the sets of shingles where it is larger, so that no weight can hide a pair
+    that the plain similarity finds."""
     (x, v), (y, w) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
     if not len(y):
         return 0.0
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     same = x[at] == y
-    shared = np.minimum(v[at[same]], w[same]).sum()
-    return float(shared / (v.sum() + w.sum() - shared))
+    shared, n = np.minimum(v[at[same]], w[same]).sum(), int(same.sum())
+    return max(float(shared / (v.sum() + w.sum() - shared)), n / (len(x) + len(y) - n))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """key, class_id, copy_of, n_links for every row of docs; see links.classes.
 
-    Texts are near duplicates at a weighted Jaccard similarity of `similarity`
-    or more. idf lies between 1 and 1 + LIFT, so that a group of copies, however
+    Texts are near duplicates at a weighted (or plain) Jaccard similarity of
+    `similarity` or more. idf lies between 1 and 1 + LIFT, so that a group of copies, however
     large, does not weigh its own shared shingles down.
     """
     table = docs.sparkSession.sparkContext.broadcast(idf(docs, text))
