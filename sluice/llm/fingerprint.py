@@ -168,7 +168,7 @@ def sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashes, places
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of sorted distinct shingle hashes."""
+def jaccard(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether sets of sorted distinct shingle hashes have a Jaccard similarity of `similarity` or more."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / max(1, len(a) + len(b) - shared)
+    return shared > 0 and shared >= similarity * (len(a) + len(b) - shared)

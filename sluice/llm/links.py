@@ -1,11 +1,13 @@
 """Near-duplicate classes from signature bands.
 
 Documents with equal features are one node. Nodes that share a band are
-candidates; in each band's bucket the nodes are compared with one leader, never
-all with all. Members that prove unlike their leader are dealt anew among
-themselves until no bucket holds two, so that nothing is capped. Which node
-leads depends on the band, so that nodes linked through a third are compared
-with each other too. Verified links are joined into connected components.
+candidates; in each band's bucket the nodes are compared with one leader. Which
+node leads depends on the band, so that nodes linked through a third are
+compared with each other too. Members unlike their leader are left over. Where
+at most INSIDE of a bucket are, one task compares them with each other; more
+are dealt into finer buckets, by the bucket and each of their other bands, and
+led again, so that nothing is capped and no group is compared all with all.
+Verified links are joined into connected components.
 
 Nothing is collected: buckets, links and components stay in DataFrames.
 """
@@ -24,6 +26,8 @@ from sluice.llm.store import materialize
 
 #: Orders in which leaders are chosen; members compared with one leader in a row.
 ORDERS, BLOCK = 4, 256
+#: Left-over members of a bucket that one task compares with each other, at most.
+INSIDE = 256
 
 
 def band(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -50,8 +54,8 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
 
     bands(texts) gives node numbers and band hashes (texts x bands; zeros for
     texts without words) of an Arrow string column; features(texts) gives what
-    similar(leader's features, member's features) compares. A link is a pair of
-    nodes at `similarity` or more. class_id is the smallest key in the connected
+    similar(one's features, another's, similarity) compares. A link is a pair of
+    nodes that are similar. class_id is the smallest key in the connected
     component, copy_of the smallest key with the same node, n_links the number of
     the node's verified links.
 
@@ -83,13 +87,16 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
         near = materialize(near, "links")
         links = near if links is None else links.unionByName(near)
         rest = members.join(near.select(F.col("leader").alias("n_leader"), F.col("node").alias("n_node")), (F.col("leader") == F.col("n_leader")) & (F.col("node") == F.col("n_node")), "left_anti")
-        rest = materialize(rest.select("node", "ord", "bucket"), "rest")
-        # Only a bucket that still holds two can give another pair.
-        import os
-        if os.environ.get('DBG'): print('round',members.count(),pairs.count(),near.count(),rest.count(),rest.groupBy('bucket').count().where('count>1').count(),flush=True)
-        if not rest.groupBy("bucket").count().where("count > 1").limit(1).count():
+        rest = materialize(rest.select("node", "bucket"), "rest")
+        sizes = materialize(rest.groupBy("bucket").count().where("count > 1").select(F.col("bucket").alias("s_bucket"), "count"), "sizes")
+        sized = rest.join(sizes, F.col("bucket") == F.col("s_bucket")).select("node", "bucket", "count")
+        few = sized.where(F.col("count") <= INSIDE).select("node", "bucket")
+        links = links.unionByName(materialize(inside(source, nodes, few, features, similar, similarity), "links"))
+        if not sizes.where(F.col("count") > INSIDE).limit(1).count():
             break
-        buckets = rest
+        many = sized.where(F.col("count") > INSIDE).join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node"))
+        finer = many.select("node", "bucket", F.posexplode("bands").alias("band", "other"))
+        buckets = finer.select("node", (F.col("band") % ORDERS).alias("ord"), F.xxhash64("bucket", "other").alias("bucket"))
     both = links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     both = materialize(both, "edges")
     label = components(both)
@@ -126,7 +133,7 @@ def verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, features: Ca
                 for leader, block, role, want, values in zip(*(part.column(i).to_pylist() for i in range(4)), sets, strict=True):
                     if role == 0:
                         held, own = (leader, block), values
-                    elif held == (leader, block) and similar(own, values) >= similarity:
+                    elif held == (leader, block) and similar(own, values, similarity):
                         found[0].append(leader)
                         found[1].append(want)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["leader", "node"])
@@ -134,6 +141,32 @@ def verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, features: Ca
     return dealt_out.mapInArrow(compare, "leader bigint, node bigint").distinct()
 
 
+def inside(source: DataFrame, nodes: DataFrame, rows: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
+    """leader, node: the similar pairs within buckets of at most INSIDE nodes."""
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.join(nodes.select(F.col("node").alias("r_node"), "rep"), F.col("node") == F.col("r_node")).select("bucket", "node", "rep")
+    texts = named.join(source, F.col("rep").eqNullSafe(F.col("id"))).select("bucket", "node", "body")
+    dealt_out = texts.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, []
+        for batch in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                for bucket, node, values in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(part.column(2)), strict=True):
+                    if bucket != held:
+                        held, own = bucket, []
+                    for other, theirs in own:
+                        if similar(theirs, values, similarity):
+                            found[0].append(other)
+                            found[1].append(node)
+                    own.append((node, values))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["leader", "node"])
+
+    return dealt_out.mapInArrow(compare, "leader bigint, node bigint").where("leader != node").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each node's connected component.
 

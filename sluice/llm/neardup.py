@@ -131,17 +131,17 @@ def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.n
     return out.T
 
 
-def weighted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The weighted Jaccard similarity of two bags of sorted hashes, or that of
-    the sets of shingles where it is larger, so that no weight can hide a pair
-    that the plain similarity finds."""
-    (x, v), (y, w) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
-    if not len(y):
-        return 0.0
+def alike(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], similarity: float) -> bool:
+    """Whether two bags (sorted hashes, weights, their sum) have a weighted Jaccard
+    similarity of `similarity` or more, or their sets of shingles do: no weight
+    can hide a pair that the plain similarity finds."""
+    (x, v, v_sum), (y, w, w_sum) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    if not len(y) or max(len(y) / len(x), min(v_sum, w_sum) / max(v_sum, w_sum)) < similarity - 1e-9:
+        return False
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     same = x[at] == y
     shared, n = np.minimum(v[at[same]], w[same]).sum(), int(same.sum())
-    return max(float(shared / (v.sum() + w.sum() - shared)), n / (len(x) + len(y) - n))
+    return shared >= similarity * (v_sum + w_sum - shared) or n >= similarity * (len(x) + len(y) - n)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -164,14 +164,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 hashed[first + full] = links.band(samples(hashes, weights, np.append(places[full], len(hashes))), BANDS)
         return nodes, hashed
 
-    def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, float]]:
         out = []
         for _, places, hashes, tf in bags(texts):
             weights = (1 + np.log(tf)) * table.value(hashes)
-            out += [(hashes[a:b], weights[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+            out += [(hashes[a:b], weights[a:b], float(weights[a:b].sum())) for a, b in zip(places[:-1], places[1:], strict=True)]
         return out
 
-    return links.classes(docs, bands, features, weighted, key, text, similarity)
+    return links.classes(docs, bands, features, alike, key, text, similarity)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
