@@ -18,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -214,6 +215,23 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+class Words(dict):
+    """Pre-token to ids; those not held are encoded by the transducer."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.encode, self.older = transducer.encode, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.older.get(word) or self.encode(word.encode())
+        if len(word) <= MAX_WORD_CHARS:
+            if len(self) >= MAX_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of frequent pre-tokens."""
 
@@ -223,23 +241,10 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.bytes = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.bytes}
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words = Words(self.transducer)
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        words = self.words
-        for word in self.split(text):
-            found = words.get(word)
-            if found is None:
-                found = self.older.get(word) or self.transducer.encode(word.encode())
-                if len(word) <= MAX_WORD_CHARS:
-                    if len(words) >= MAX_WORDS:
-                        self.older, self.words = words, {}
-                        words = self.words
-                    words[word] = found
-            ids += found
-        return ids
+        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 8192) -> Iterator[str]:
         """The text of ids, piece by piece."""
