@@ -15,6 +15,7 @@ show that the lookahead is bounded).
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 #: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES steps
 #: are made without being kept; of pre-tokens the last two lots of MAX_WORDS are.
-MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 150_000, 200_000, 300_000, 48
+MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 300_000, 200_000, 450_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -259,7 +260,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process."""
+    """One codec for each worker process. What it keeps lives as long as the worker,
+    so looking for garbage among it often would be wasted."""
+    gc.set_threshold(1_000_000, 50, 100)
     return Codec(path, pattern)
 
 

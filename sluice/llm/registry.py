@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from sluice.llm import bpe, decontaminate, fingerprint, lines, neardup, sharding, toxicity, unigram
+from sluice.llm import bpe, decontaminate, fingerprint, lines, neardup, ngrams, sharding, toxicity, unigram
 
 SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -51,12 +51,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_decontamination, op5_sharding, op6_toxicity, op8_line_dedup, op10_document_fingerprints]
+    found = [op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_decontamination, op5_sharding, op6_toxicity, op8_line_dedup, op9_lm_scoring, op10_document_fingerprints]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

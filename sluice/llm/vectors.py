@@ -76,9 +76,19 @@ def groups(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and the n + 1 places at which the texts' words start."""
-    cls = _CLASS[data]
+#: Classes for words between blanks: every other byte, A-Z as a-z.
+UNSPACED = np.arange(256, dtype=np.uint8)
+UNSPACED[0x41:0x5B] = np.arange(0x61, 0x7B)
+UNSPACED[[0x20, *range(0x09, 0x0E)]] = 0
+UNSPACED[0] = 0xFF  # a byte that no UTF-8 text has
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = _CLASS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and the n + 1 places at which the texts' words start.
+
+    classes gives for each byte what it counts as, or 0 if it parts words.
+    """
+    cls = classes[data]
     inside = cls != 0
     fresh = np.ones(len(data), bool)
     np.logical_not(inside[:-1], out=fresh[1:])
