@@ -1,13 +1,13 @@
 """Near-duplicate classes from signature bands.
 
 Documents with equal features are one node. Nodes that share a band are
-candidates; in each band's bucket the nodes are compared with one leader. Which
-node leads depends on the band, so that nodes linked through a third are
-compared with each other too. Members unlike their leader are left over. Where
-at most INSIDE of a bucket are, one task compares them with each other; more
-are dealt into finer buckets, by the bucket and each of their other bands, and
-led again, so that nothing is capped and no group is compared all with all.
-Verified links are joined into connected components.
+candidates; in each band's bucket the nodes are compared with one leader, in
+ORDERS rounds with another leader each. Verified links are joined into connected
+components, and later rounds leave out buckets whose nodes are all in one
+component. What is left in the end is compared inside one task where a bucket
+has at most INSIDE nodes; larger buckets are dealt into finer ones, by the
+bucket and each other band of a node, and led again. So nothing is capped and no
+group is compared all with all.
 
 Nothing is collected: buckets, links and components stay in DataFrames.
 """
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from sluice.llm import vectors
 from sluice.llm.store import materialize
 
-#: Orders in which leaders are chosen; members compared with one leader in a row.
-ORDERS, BLOCK = 4, 256
-#: Left-over members of a bucket that one task compares with each other, at most.
-INSIDE = 256
+#: Rounds of leaders; members compared with one leader in a row; nodes of a bucket
+#: that one task compares with each other, at most.
+ORDERS, BLOCK, INSIDE = 3, 256, 256
 
 
 def band(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -74,31 +73,38 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("body"))
     rows = materialize(source.mapInArrow(signed, "id bigint, node bigint, bands array<bigint>, some boolean"), "bands")
     nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("some").alias("some")), "nodes")
-    buckets = nodes.where("some").select("node", F.posexplode("bands").alias("band", "bucket"))
-    buckets = buckets.select("node", (F.col("band") % ORDERS).alias("ord"), "bucket")
-
-    links = None
+    every = nodes.where("some").select("node", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").count().where("count > 1").select(F.col("bucket").alias("s_bucket"))
+    buckets = materialize(every.join(shared, F.col("bucket") == F.col("s_bucket"), "left_semi"), "buckets")
+    # The texts of candidates are taken from the source once.
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    texts = materialize(source.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select(F.col("node").alias("t_node"), "body"), "texts")
+
+    links, label, turn = None, None, 0
     while True:
-        led = F.min(F.struct(F.xxhash64("ord", "node"), F.col("node").alias("node")))
-        leaders = buckets.groupBy("bucket").agg(led["node"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("l_bucket"), "leader")
-        members = materialize(buckets.join(leaders, F.col("bucket") == F.col("l_bucket")).where("node != leader").select("node", "ord", "bucket", "leader"), "members")
-        pairs = members.select("leader", "node").distinct()
-        near = verified(source, nodes, pairs, features, similar, similarity)
-        near = materialize(near, "links")
+        if label is None:
+            mixed = buckets.withColumn("label", F.col("node"))
+        else:
+            named = buckets.join(label.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+            several = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("bucket").alias("m_bucket"), "count")
+            mixed = materialize(named.join(several, F.col("bucket") == F.col("m_bucket")).select("node", "bucket", "label", "count"), "mixed")
+        if turn >= ORDERS:
+            few = mixed.where(F.col("count") <= INSIDE)
+            links = links.unionByName(materialize(inside(texts, few, features, similar, similarity), "links"))
+            many = mixed.where(F.col("count") > INSIDE)
+            if not many.limit(1).count():
+                break
+            finer = many.join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node")).select("node", "label", "bucket", F.explode("bands").alias("other"))
+            mixed = finer.where("bucket != other").select("node", "label", F.xxhash64("bucket", "other").alias("bucket"))
+            buckets = materialize(mixed.select("node", "bucket"), "finer")
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")), F.col("node").alias("node"), F.col("label").alias("label")))
+        leaders = mixed.groupBy("bucket").agg(first.alias("f")).select(F.col("bucket").alias("l_bucket"), F.col("f.node").alias("leader"), F.col("f.label").alias("l_label"))
+        pairs = materialize(mixed.join(leaders, F.col("bucket") == F.col("l_bucket")).where("label != l_label").select("leader", "node").distinct(), "pairs")
+        near = materialize(verified(texts, pairs, features, similar, similarity), "links")
         links = near if links is None else links.unionByName(near)
-        rest = members.join(near.select(F.col("leader").alias("n_leader"), F.col("node").alias("n_node")), (F.col("leader") == F.col("n_leader")) & (F.col("node") == F.col("n_node")), "left_anti")
-        rest = materialize(rest.select("node", "bucket"), "rest")
-        sizes = materialize(rest.groupBy("bucket").count().where("count > 1").select(F.col("bucket").alias("s_bucket"), "count"), "sizes")
-        sized = rest.join(sizes, F.col("bucket") == F.col("s_bucket")).select("node", "bucket", "count")
-        few = sized.where(F.col("count") <= INSIDE).select("node", "bucket")
-        links = links.unionByName(materialize(inside(source, nodes, few, features, similar, similarity), "links"))
-        if not sizes.where(F.col("count") > INSIDE).limit(1).count():
-            break
-        many = sized.where(F.col("count") > INSIDE).join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node"))
-        finer = many.select("node", "bucket", F.posexplode("bands").alias("band", "other"))
-        buckets = finer.select("node", (F.col("band") % ORDERS).alias("ord"), F.xxhash64("bucket", "other").alias("bucket"))
-    both = links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    both = materialize(both, "edges")
+        label = components(links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+        turn += 1
+    both = materialize(links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "edges")
     label = components(both)
     joined = nodes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     named = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -108,20 +114,19 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
     return found.select(F.col("id").alias(key), "class_id", F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
-    """leader, node of the pairs whose texts have `similarity` or more.
+def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
+    """leader, node of the pairs whose texts (t_node, body) are similar.
 
     A leader's members are cut into blocks of about BLOCK; each block reads the
     leader's text once and streams its members, so a leader of any number of
     members is neither collected nor one task's.
     """
-    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).withColumnRenamed("leader", "d_leader")
     dealt = pairs.join(degree, F.col("leader") == F.col("d_leader")).select("leader", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     asked = dealt.groupBy("leader", "block").agg(F.lit(0).alias("role")).select("leader", "block", "role", F.col("leader").alias("want")).unionByName(dealt.select("leader", "block", F.lit(1).alias("role"), F.col("node").alias("want")))
-    named = asked.join(nodes.select(F.col("node").alias("want"), "rep"), "want")
-    texts = named.join(source, F.col("rep").eqNullSafe(F.col("id"))).select("leader", "block", "role", "want", "body")
-    dealt_out = texts.repartition(n, "leader", "block").sortWithinPartitions("leader", "block", "role")
+    read = asked.join(texts, F.col("want") == F.col("t_node")).select("leader", "block", "role", "want", "body")
+    dealt_out = read.repartition(n, "leader", "block").sortWithinPartitions("leader", "block", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
@@ -141,12 +146,11 @@ def verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, features: Ca
     return dealt_out.mapInArrow(compare, "leader bigint, node bigint").distinct()
 
 
-def inside(source: DataFrame, nodes: DataFrame, rows: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
-    """leader, node: the similar pairs within buckets of at most INSIDE nodes."""
-    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = rows.join(nodes.select(F.col("node").alias("r_node"), "rep"), F.col("node") == F.col("r_node")).select("bucket", "node", "rep")
-    texts = named.join(source, F.col("rep").eqNullSafe(F.col("id"))).select("bucket", "node", "body")
-    dealt_out = texts.repartition(n, "bucket").sortWithinPartitions("bucket")
+def inside(texts: DataFrame, rows: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
+    """leader, node: the similar pairs of different labels within buckets of at most INSIDE nodes."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = rows.join(texts, F.col("node") == F.col("t_node")).select("bucket", "node", "label", "body")
+    dealt_out = read.repartition(n, "bucket").sortWithinPartitions("bucket")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, []
@@ -154,14 +158,14 @@ def inside(source: DataFrame, nodes: DataFrame, rows: DataFrame, features: Calla
             found: tuple[list[int], list[int]] = ([], [])
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                for bucket, node, values in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(part.column(2)), strict=True):
+                for bucket, node, label, values in zip(*(part.column(i).to_pylist() for i in range(3)), features(part.column(3)), strict=True):
                     if bucket != held:
                         held, own = bucket, []
-                    for other, theirs in own:
-                        if similar(theirs, values, similarity):
+                    for other, their_label, theirs in own:
+                        if label != their_label and similar(theirs, values, similarity):
                             found[0].append(other)
                             found[1].append(node)
-                    own.append((node, values))
+                    own.append((node, label, values))
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["leader", "node"])
 
     return dealt_out.mapInArrow(compare, "leader bigint, node bigint").where("leader != node").distinct()
@@ -174,6 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     the label's own label, so that the rounds grow with the logarithm of the
     longest path; each round is written, which cuts the lineage.
     """
+    edges = materialize(edges, "edges")
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
