@@ -17,9 +17,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -217,14 +219,18 @@ class Utf8Stream:
 
 
 class Words(dict):
-    """Pre-token to ids; those not held are encoded by the transducer."""
+    """Pre-token to its ids and their decimals joined by commas; those not held are
+    encoded by the transducer."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.encode, self.older = transducer.encode, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        found = self.older.get(word) or self.encode(word.encode())
+    def __missing__(self, word: str) -> tuple[list[int], str]:
+        found = self.older.get(word)
+        if found is None:
+            ids = self.encode(word.encode())
+            found = ids, ",".join(map(str, ids))
         if len(word) <= MAX_WORD_CHARS:
             if len(self) >= MAX_WORDS:
                 self.older = dict(self)
@@ -233,19 +239,54 @@ class Words(dict):
         return found
 
 
+_WIDE = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r" \t\n\r\x0b\x0c"}
+
+
+def ascii_pattern(pattern: str) -> str | None:
+    """A pattern for the quicker re module that cuts ASCII texts as pattern does.
+
+    None where pattern has an escape that this does not know.
+    """
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        known = next((w for w in _WIDE if pattern.startswith(w, at)), None)
+        if known:
+            out += _WIDE[known] if inside else f"[{_WIDE[known]}]"
+            at += len(known)
+            continue
+        c = pattern[at]
+        if pattern.startswith(r"\S", at) and not inside:
+            out += "[^" + _WIDE[r"\s"] + "]"
+            at += 2
+            continue
+        if c == "\\":
+            return None
+        inside = c == "[" or inside and c != "]"
+        out += c
+        at += 1
+    return out
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of frequent pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
+        plain = ascii_pattern(pattern)
+        self.split_ascii = re.compile(plain).findall if plain else self.split
         self.transducer = Transducer(ranks)
         self.bytes = {i: t for t, i in ranks.items()}
-        self.digits = {i: str(i) for i in self.bytes}
         self.words = Words(self.transducer)
 
+    def encoded(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text, and their decimals joined by commas."""
+        words = self.split_ascii(text) if text.isascii() else self.split(text)
+        found = list(map(self.words.__getitem__, words))
+        return list(chain.from_iterable(map(itemgetter(0), found))), ",".join(map(itemgetter(1), found))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+        return self.encoded(text)[0]
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 8192) -> Iterator[str]:
         """The text of ids, piece by piece."""
@@ -287,12 +328,12 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             for some in range(0, batch.num_rows, 512):  # bounds the ids held at once
                 part = batch.slice(some, 512)
                 n, lists, hashes, decoded = [], [], [], []
-                for value in part.column(1):
-                    ids = c.encode(value.as_py() or "")
+                for text in part.column(1).to_pylist():
+                    ids, decimals = c.encoded(text or "")
                     n.append(len(ids))
                     if with_ids:
                         lists.append(ids)
-                    hashes.append(sha(",".join(map(c.digits.__getitem__, ids)).encode()))
+                    hashes.append(sha(decimals.encode()))
                     if verify:
                         decoded.append(digest(c.decode_stream(ids)))
                     else:

@@ -26,7 +26,7 @@ from sluice.llm.store import materialize
 
 #: Rounds of leaders; members compared with one leader in a row; nodes of a bucket
 #: that one task compares with each other, at most.
-ORDERS, BLOCK, INSIDE = 3, 256, 256
+ORDERS, BLOCK, INSIDE = 2, 256, 256
 
 
 def band(signature: np.ndarray, bands: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from sluice.llm import links, vectors
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
-RARE, LIFT = 1000, 0.1
+RARE, LIFT = 1000, 2.0
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -148,8 +148,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """key, class_id, copy_of, n_links for every row of docs; see links.classes.
 
     Texts are near duplicates at a weighted (or plain) Jaccard similarity of
-    `similarity` or more. idf lies between 1 and 1 + LIFT, so that a group of copies, however
-    large, does not weigh its own shared shingles down.
+    `similarity` or more. idf weighs down the passages that many texts share, so
+    that they make fewer candidates; it lies between 1 and 1 + LIFT, so that a
+    group of copies, however large, keeps enough weight on its own shingles.
     """
     table = docs.sparkSession.sparkContext.broadcast(idf(docs, text))
 

@@ -83,9 +83,11 @@ def _ask(shards: int):
         for b, kind in sorted({(b, kind) for b, kind, _ in held}):
             train = np.concatenate(held.pop((b, kind, False), [np.zeros(0, U64)]))
             other = np.concatenate(held.pop((b, kind, True), [np.zeros(0, U64)]))
-            hashes, places = np.unique(np.concatenate([train, other]), return_inverse=True)
-            count = np.bincount(places[: len(train)], minlength=len(hashes)).astype(np.int32)
-            del train, other, places
+            train, times = np.unique(train, return_counts=True)
+            hashes = np.union1d(train, other)
+            count = np.zeros(len(hashes), np.int32)
+            count[np.searchsorted(hashes, train)] = times
+            del train, other, times
             at = [0, *np.searchsorted(hashes, cuts), len(hashes)]
             rows = [(s, at[s], at[s + 1]) for s in range(shards) if at[s + 1] > at[s]]
             yield pa.RecordBatch.from_arrays(
@@ -134,11 +136,12 @@ class Block:
         order = np.lexsort((answers["shard"].to_numpy(), answers["kind"].to_numpy()))
         kinds, every, kept = answers["kind"].to_numpy()[order], answers["all"].to_pylist(), answers["kept"].to_pylist()
         got = lambda column, kind, dtype: np.concatenate([np.frombuffer(column[i], dtype) for i, k in zip(order, kinds, strict=True) if k == kind])
-        words, place = np.unique(self.flat, return_inverse=True)
+        words = np.unique(self.flat)
+        place = np.searchsorted(words, self.flat)
         self.word, self.word_kept = got(every, 0, np.int64)[place], got(kept, 0, np.int64)[place]
         if len(got(every, 0, np.int64)) != len(words):
             raise ValueError("a block's texts differ from those that were counted; write the input to a table first")
-        self.pair_kept = got(kept, 1, np.int32)[np.unique(pairs, return_inverse=True)[1]].astype(np.int64)
+        self.pair_kept = got(kept, 1, np.int32)[np.searchsorted(np.unique(pairs), pairs)].astype(np.int64)
 
     def context(self, texts_kept: int) -> np.ndarray:
         """How often each token's context was seen, without the deleted fold."""
@@ -193,7 +196,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     spark = docs.sparkSession
     if parts is None:
         size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        parts = max(1, math.ceil(size / (32 << 20)))
+        parts = max(1, math.ceil(size / (8 << 20)))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, key, text, parts)
     asked = blocks.mapInArrow(_ask(shards), "shard int, block bigint, kind int, hashes binary, counts binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark finds them when the driver's heap is collected, which a driver with
+    little to do may not come to for a long time; without this a chain of steps
+    keeps the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
