@@ -5,9 +5,11 @@ candidates; in each band's bucket the nodes are compared with one leader, in
 ORDERS rounds with another leader each. Verified links are joined into connected
 components, and later rounds leave out buckets whose nodes are all in one
 component. What is left in the end is compared inside one task where a bucket
-has at most INSIDE nodes; larger buckets are dealt into finer ones, by the
-bucket and each other band of a node, and led again. So nothing is capped and no
-group is compared all with all.
+has at most INSIDE nodes. Larger buckets are dealt once into finer ones, by the
+bucket and each other band of a node, where a node meets another leader for each
+of its bands, and then inside one task again. No group is compared all with all.
+A link can be missed where all these leaders are unlike a node that is like
+another member of a very large bucket; see the README for how often.
 
 Nothing is collected: buckets, links and components stay in DataFrames.
 """
@@ -92,7 +94,7 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
             few = mixed.where(F.col("count") <= INSIDE)
             links = links.unionByName(materialize(inside(texts, few, features, similar, similarity), "links"))
             many = mixed.where(F.col("count") > INSIDE)
-            if not many.limit(1).count():
+            if turn > ORDERS or not many.limit(1).count():
                 break
             finer = many.join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node")).select("node", "label", "bucket", F.explode("bands").alias("other"))
             mixed = finer.where("bucket != other").select("node", "label", F.xxhash64("bucket", "other").alias("bucket"))
