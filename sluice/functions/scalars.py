@@ -48,7 +48,9 @@ def build(tree: tuple, resolve: Callable[[str], Value]) -> Value:
 
 def truth(v: Value) -> Column:
     """As a condition: a boolean, or a number other than 0."""
-    return v.column if isinstance(v.kind, (T.BooleanType, T.NullType)) else v.number() != 0
+    if isinstance(v.kind, T.NullType):
+        return F.lit(None).cast("boolean")
+    return v.column if isinstance(v.kind, T.BooleanType) else v.number() != 0
 
 
 def numeric(v: Value) -> Value:
