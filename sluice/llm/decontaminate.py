@@ -25,18 +25,27 @@ def _grams(ws: Column, k: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """item, span, k, hash: every different window of every item and its fingerprint.
+    """item, span, k: every different window of every item.
 
-    A window is `window` words, or a whole item of fewer words. hash is the
-    smallest hash of k words in it; k is `gram`, or the item's number of words
-    where that is less. An item without words has no window. item is a string,
-    empty for null.
+    A window is `window` words, or a whole item of fewer words. k is the words of
+    a gram: `gram`, or the item's number of words where that is less. An item
+    without words has no window. item is a string, empty for null.
     """
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text).cast("string")).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
     spans = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("span")).distinct()
-    sized = spans.withColumn("k", F.least(F.size("span"), F.lit(gram)))
-    return sized.select("item", "span", "k", F.array_min(F.transform(F.sequence(F.lit(1), F.size("span") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("span", i, F.col("k"))))).alias("hash"))
+    return spans.withColumn("k", F.least(F.size("span"), F.lit(gram)))
+
+
+def keyed(windows: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """windows with the hash that marks a text where the window starts.
+
+    It is the smallest hash of k words in the window; where all grams of k words
+    are marked (w is 1, for short items), it is the first one's.
+    """
+    every = F.transform(F.sequence(F.lit(1), F.size("span") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("span", i, F.col("k"))))
+    first = [k for k, w in levels.items() if w == 1]
+    return windows.withColumn("hash", F.when(F.col("k").isin(*first), F.xxhash64(F.slice("span", F.lit(1), F.col("k")))).otherwise(F.array_min(every)) if first else F.array_min(every))
 
 
 MARKS = "array<struct<k:int,hash:bigint,from:int,upto:int>>"
@@ -92,7 +101,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     # The first mark of a row stands for the row itself.
     itself = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("from"), F.lit(-1).alias("upto")))
     points = marked.select("id", "h", "ws", F.explode(F.concat(itself.cast(MARKS), F.col("marks"))).alias("m")).select("id", "h", "ws", "m.*")
-    windows = windows.withColumnsRenamed({"k": "w_k", "hash": "w_hash"})
+    windows = keyed(windows, levels).withColumnsRenamed({"k": "w_k", "hash": "w_hash"})
     if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
     joined = points.join(windows, (F.col("k") == F.col("w_k")) & (F.col("hash") == F.col("w_hash")), "left")

@@ -30,8 +30,8 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys
     of at least min_chars code points found in at least min_docs documents lose
-    all lines but those in the largest key column value. Rows that repeat one id
-    count as one document; a null id sorts below all others. Keys are compared
+    all lines but those in the largest key column value. Repeated rows count as one
+    document, and an id names one text; a null id sorts below all others. Keys are compared
     by two independent 64-bit hashes.
     """
     spark = docs.sparkSession

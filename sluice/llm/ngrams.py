@@ -125,30 +125,37 @@ def _answer(parts: int):
 
 
 class Block:
-    """The tokens of one block's texts with their counts."""
+    """One block's texts with the counts that its shards answered.
+
+    Iterating gives some texts at a time, so that only the hashes of the whole
+    block are held, not all figures of all its tokens.
+    """
 
     def __init__(self, texts: pa.ChunkedArray, answers: pa.Table):
-        found = [tokens(c.slice(i, 2048)) for c in texts.chunks for i in range(0, len(c), 2048)]
-        starts = np.cumsum([0, *(s[-1] for _, s in found)])
-        self.starts = np.concatenate([[0], *(s[1:] + d for (_, s), d in zip(found, starts, strict=False))]).astype(np.int64)
-        self.flat = np.concatenate([f for f, _ in found])
-        pairs = bigrams(self.flat, self.starts)
+        self.pieces = [c.slice(i, 1024) for c in texts.chunks for i in range(0, len(c), 1024)]
+        self.words, self.pairs = np.zeros(0, U64), np.zeros(0, U64)
+        for some in range(0, len(self.pieces), 4):
+            found = [tokens(p) for p in self.pieces[some : some + 4]]
+            self.words = np.unique(np.concatenate([self.words, *(f for f, _ in found)]))
+            self.pairs = np.unique(np.concatenate([self.pairs, *(bigrams(f, s) for f, s in found)]))
         order = np.lexsort((answers["shard"].to_numpy(), answers["kind"].to_numpy()))
-        kinds, every, kept = answers["kind"].to_numpy()[order], answers["all"].to_pylist(), answers["kept"].to_pylist()
-        got = lambda column, kind, dtype: np.concatenate([np.frombuffer(column[i], dtype) for i, k in zip(order, kinds, strict=True) if k == kind])
-        words = np.unique(self.flat)
-        place = np.searchsorted(words, self.flat)
-        self.word, self.word_kept = got(every, 0, np.int64)[place], got(kept, 0, np.int64)[place]
-        if len(got(every, 0, np.int64)) != len(words):
+        kinds, every, kept = answers["kind"].to_numpy()[order], answers["all"], answers["kept"]
+        got = lambda column, kind, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(column[int(i)].as_buffer(), dtype) for i, k in zip(order, kinds, strict=True) if k == kind)])
+        self.word, self.word_kept, self.pair_kept = got(every, 0, np.int64), got(kept, 0, np.int64), got(kept, 1, np.int32)
+        if len(self.word) != len(self.words) or len(self.pair_kept) != len(self.pairs):
             raise ValueError("a block's texts differ from those that were counted; write the input to a table first")
-        self.pair_kept = got(kept, 1, np.int32)[np.searchsorted(np.unique(pairs), pairs)].astype(np.int64)
 
-    def context(self, texts_kept: int) -> np.ndarray:
-        """How often each token's context was seen, without the deleted fold."""
-        out = np.empty_like(self.word_kept)
-        out[1:] = self.word_kept[:-1]
-        out[self.starts[:-1]] = texts_kept
-        return out
+    def parts(self, texts_kept: int):
+        """For some texts at a time: starts, and for each token its count in training,
+        its and its bigram's without the deleted fold, and its context's."""
+        for piece in self.pieces:
+            flat, starts = tokens(piece)
+            place = np.searchsorted(self.words, flat)
+            kept = self.word_kept[place]
+            context = np.empty_like(kept)
+            context[1:] = kept[:-1]
+            context[starts[:-1]] = texts_kept
+            yield starts, self.word[place], kept, self.pair_kept[np.searchsorted(self.pairs, bigrams(flat, starts))], context
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -196,7 +203,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     spark = docs.sparkSession
     if parts is None:
         size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        parts = max(1, math.ceil(size / (8 << 20)))
+        parts = max(1, math.ceil(size / (16 << 20)))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, key, text, parts)
     asked = blocks.mapInArrow(_ask(shards), "shard int, block bigint, kind int, hashes binary, counts binary")
@@ -209,15 +216,15 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     answers = answers.where("block >= 0").withColumnRenamed("block", "a_block")
 
     def observe(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = np.zeros((0, 4), np.int64)
+        counts = np.zeros(CONTEXTS * GRID * GRID, np.int64)
+        step = lambda p: np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, GRID - 2), GRID - 1).astype(np.int64)
         if left.num_rows:
-            found = Block(left["body"], right)
-            context = found.context(texts_kept)
-            step = lambda p: np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, GRID - 2), GRID - 1).astype(np.int64)
-            cell = (bucket(context) * GRID + step(found.pair_kept / np.maximum(context, 1))) * GRID + step(found.word_kept / max(1, n_kept))
-            cells, count = np.unique(cell, return_counts=True)
-            empty = np.stack([cells // GRID**2, cells // GRID % GRID, cells % GRID, count], axis=1)
-        return pa.table({c: empty[:, i].astype(np.int64) for i, c in enumerate(("b", "p2", "p1", "n"))})
+            for _, _, kept, pair, context in Block(left["body"], right).parts(texts_kept):
+                cell = (bucket(context) * GRID + step(pair / np.maximum(context, 1))) * GRID + step(kept / max(1, n_kept))
+                counts += np.bincount(cell, minlength=len(counts))
+        cells = np.flatnonzero(counts)
+        columns = cells // GRID**2, cells // GRID % GRID, cells % GRID, counts[cells]
+        return pa.table({c: x.astype(np.int64) for c, x in zip(("b", "p2", "p1", "n"), columns, strict=True)})
 
     deleted = blocks.where("fold = 3").select("block", "body")
     wanted = answers.where(F.pmod("a_block", F.lit(2 * parts)) >= parts)
@@ -231,12 +238,15 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         names = (key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         if not left.num_rows:
             return pa.table(dict.fromkeys(names, pa.array([]))).cast(target)
-        found = Block(left["body"], right)
-        context, at = found.context(texts_kept), found.starts[:-1]
-        mix = weights[bucket(context)]
-        p = mix[:, 0] * (found.pair_kept / np.maximum(context, 1)) + mix[:, 1] * (found.word / max(1, n)) + mix[:, 2] / (v + 1)
-        sums = lambda x: np.add.reduceat(x, at)
-        columns = (left["id"], (left["fold"].to_numpy() == 2), np.diff(found.starts), sums((found.word > 0).astype(np.int64)), np.full(len(at), n), sums(np.log10((found.word + 1) / (n + v + 1))), sums(np.log10(p)))
+        sums: tuple[list, ...] = ([], [], [], [])
+        for starts, word, _, pair, context in Block(left["body"], right).parts(texts_kept):
+            mix = weights[bucket(context)]
+            p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(1, n)) + mix[:, 2] / (v + 1)
+            found = np.diff(starts), *(np.add.reduceat(x, starts[:-1]) for x in ((word > 0).astype(np.int64), np.log10((word + 1) / (n + v + 1)), np.log10(p)))
+            for out, x in zip(sums, found, strict=True):
+                out.append(x)
+        sizes, known, base, scored = map(np.concatenate, sums)
+        columns = (left["id"], left["fold"].to_numpy() == 2, sizes, known, np.full(len(sizes), n), base, scored)
         return pa.table(dict(zip(names, columns, strict=True))).cast(target)
 
     id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]

@@ -38,12 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under folder() and return it read back.
 
     This cuts the lineage with files that survive the loss of executors. The
-    files go when the driver's Python exits.
+    files go when the driver's Python exits. There are at most three for each
+    core: more would be small, and each costs the file system some calls.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.coalesce(3 * spark.sparkContext.defaultParallelism).write.parquet(path)
     atexit.register(_remove, spark, path)
     del df
     release(spark)
