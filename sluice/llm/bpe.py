@@ -27,9 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES steps
-#: are made without being kept; of pre-tokens the last two lots of MAX_WORDS are.
-MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 300_000, 200_000, 450_000, 48
+#: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES a
+#: pre-token that leaves the known states is finished without keeping more; of
+#: pre-tokens the last two lots of MAX_WORDS are kept.
+MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 300_000, 600_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -177,10 +178,12 @@ class Transducer:
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
-        state, ids = self.start, []
-        for byte in data:
+        state, ids, full = self.start, [], len(self.states) >= MAX_STATES
+        for i, byte in enumerate(data):
             if byte in state.step:
                 state, sent = state.step[byte]
+            elif full:
+                return ids + self._finish(state, data[i:])
             else:
                 state, sent = self._advance(state, byte)
             if sent:
@@ -191,6 +194,29 @@ class Transducer:
         ids += state.rest
         return ids
 
+    def _finish(self, state: State, rest: bytes) -> list[int]:
+        """The ids of what is pending and of the rest, by the same steps without making states."""
+        m, data, last, live, before = self.merges, state.pending + rest, list(state.last), list(state.live), state.before
+        ranks, beginnings, fits = m.ranks, m.beginnings, m.fits
+        for n in range(len(last) + 1, len(data) + 1):
+            live.append(n - 1)
+            token, still = None, []
+            for k in live:
+                end = data[k:n]
+                if end in beginnings:
+                    still.append(k)
+                if token is None and end in ranks:
+                    left = last[k - 1] if k else before
+                    if (fit := fits.get((left, end))) is None:
+                        fit = m.fit(left, end)
+                    if fit:
+                        token = end
+            if token is None:
+                raise ValueError(f"the vocabulary has no token for byte {data[n - 1]}")
+            last.append(token)
+            live = still
+        return [ranks[last[k - 1]] for k in reversed(self._path(last, len(data))) if k]
+
 
 class Utf8Stream:
     """Incremental UTF-8: feed() returns the text completed so far; a state of at
