@@ -48,8 +48,10 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     # Counting the lines too keeps both uses of held alike, so that its exchange is made once.
     runs = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("first"), F.sum(F.size("at")).alias("lines"))
     runs = runs.where((F.col("n") >= min_docs) & (F.col("lines") >= min_docs))
-    runs = runs.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
-    lost = held.join(runs, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("id").eqNullSafe(F.col("first")))
+    # A key of its own for the join lets adaptive execution split a frequent line's
+    # partition, which it doesn't where an aggregate's partitioning is reused.
+    runs = runs.select(F.col("h1").bitwiseXOR(F.col("h2")).alias("r"), F.col("h1").alias("r1"), "first")
+    lost = held.join(runs, (F.col("h1").bitwiseXOR(F.col("h2")) == F.col("r")) & (F.col("h1") == F.col("r1"))).where(~F.col("id").eqNullSafe(F.col("first")))
     gone = lost.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("p"))
     starts = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
     ends = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1))
