@@ -13,12 +13,12 @@ ROLLUP_BEFORE = 1_705_363_200
 
 
 def epoch(c: str):
-    """Seconds since 1970 of a timestamp without a zone, read as UTC."""
-    return F.expr(f"unix_seconds(cast({c} as timestamp))")
+    """Seconds since 1970 of a timestamp without a zone, read as UTC whatever the session's zone is."""
+    return F.expr(f"unix_seconds(from_utc_timestamp(cast({c} as timestamp), current_timezone()))")
 
 
 def catalog(spark: SparkSession, folder: str) -> Catalog:
-    """Lazy tables over folder/<name>.parquet; the session's time zone is UTC."""
+    """Lazy tables over folder/<name>.parquet."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
     def events() -> DataFrame:

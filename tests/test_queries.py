@@ -33,3 +33,12 @@ def test_equals_sql(spark, sql, name):
     order = sorted(columns)
     got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
     assert got == sorted(tuple(plain(r[columns.index(c)]) for c in order) for r in want.fetchall())
+
+
+def test_time_does_not_depend_on_the_session_zone(spark):
+    want = sorted(run("ts_span", spark, str(DATA)).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(run("ts_span", spark, str(DATA)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
