@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sluice.errors import QueryError
 from sluice.operators.stages import Stages
@@ -72,6 +73,20 @@ class Engine:
                 out.append(Stage("lookup", {"table": table, "key": key, "output": tuple(output)}))
         return out
 
+    def page(self, text: str, size: int, after: tuple[int, int] | None = None, earliest: int = 0, latest: int = 0) -> DataFrame:
+        """The newest `size` rows, or those that come after the row with the (ts, id) `after`.
+
+        Rows are picked by their order, not by an offset, so a later page costs no
+        more than the first.
+        """
+        df = Engine(self.catalog, self.schema.with_cursor_id(), self.limits).query(text, earliest, latest)
+        if not {"ts", "id"} <= set(df.columns):
+            raise QueryError("pages need ts and id in the result")
+        if after is not None:
+            ts, id_ = after
+            df = df.where((F.col("ts") < ts) | (F.col("ts") == ts) & (F.col("id") < id_))
+        return df.orderBy(F.desc("ts"), F.desc("id")).limit(size)
+
     def collect(self, text: str, earliest: int = 0, latest: int = 0, limit: int = 10_000) -> Rows:
         """The first `limit` rows, with whether there are more."""
         began = time.monotonic()

@@ -251,3 +251,11 @@ def test_completions_run(engine):
     for op in COMPLETIONS["operators"]:
         engine.query(f"search host{op}a")
     assert engine.collect("search | head 3", limit=2).stats["truncated"]
+
+
+def test_pages(engine):
+    first = engine.page("search", 2).collect()
+    assert [r["id"] for r in first] == [5, 3]
+    assert [r["id"] for r in engine.page("search", 9, (first[-1]["ts"], first[-1]["id"])).collect()] == [2, 1, 4]
+    with pytest.raises(QueryError, match="ts and id"):
+        engine.page("search | stats count", 2)
