@@ -44,10 +44,13 @@ def band(signature: np.ndarray, bands: int) -> np.ndarray:
 
 def digests(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """64 bits for each text's bag of hashes (one number for all texts without any)."""
+    def sums(values: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        return total[places[1:]] - total[places[:-1]]
+
     with np.errstate(over="ignore"):
-        both = np.concatenate([[0], np.cumsum(vectors.mix(hashes), dtype=np.uint64)]).astype(np.uint64)
-        more = np.concatenate([[0], np.cumsum(vectors.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]).astype(np.uint64)
-        return vectors.mix(vectors.mix(both[places[1:]] - both[places[:-1]]) + (more[places[1:]] - more[places[:-1]]))
+        return vectors.mix(vectors.mix(sums(vectors.mix(hashes))) + sums(vectors.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))))
 
 
 def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Callable, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

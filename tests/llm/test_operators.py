@@ -79,6 +79,10 @@ def test_near_duplicates(spark, docs):
     assert len(got) == len(docs)
     keyed = [(i, t) for i, t in docs if i is not None]
     assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == plain.classes(keyed)
+    same = {}
+    for r in got:
+        same.setdefault(tuple(plain.words(dict(docs)[r["doc_id"]])), set()).add(r["copy_of"])
+    assert all(len(s) == 1 for s in same.values())
     kept = neardup.dedup(frame(spark, docs)).collect()
     assert {r["doc_id"] for r in kept} == {*plain.classes(keyed).values()} | {None for i, _ in docs if i is None}
 
