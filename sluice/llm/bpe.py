@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 #: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES a
 #: pre-token that leaves the known states is finished without keeping more; of
 #: pre-tokens the last two lots of MAX_WORDS are kept.
-MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 300_000, 600_000, 48
+MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 150_000, 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

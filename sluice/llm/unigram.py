@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from sluice.llm.bpe import read_ranks
 
 #: Bounds of what a worker keeps; beyond them it starts anew. They change no result.
-MAX_NODES, MAX_WORDS = 400_000, 300_000
+MAX_NODES, MAX_WORDS = 300_000, 200_000
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
