@@ -87,24 +87,19 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
 
     links, label, turn = None, None, 0
     while True:
-        if label is None:
-            mixed = buckets.withColumn("label", F.col("node"))
-        else:
-            named = buckets.join(label.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
-            several = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("bucket").alias("m_bucket"), "count")
-            mixed = materialize(named.join(several, F.col("bucket") == F.col("m_bucket")).select("node", "bucket", "label", "count"), "mixed")
+        named = labelled(buckets, label)
         if turn >= ORDERS:
-            few = mixed.where(F.col("count") <= INSIDE)
+            heads = materialize(mixed(named, turn), "heads")
+            few = named.join(heads.where(F.col("total") <= INSIDE), F.col("bucket") == F.col("h_bucket")).select("bucket", "node", "label")
             links = links.unionByName(materialize(inside(texts, few, features, similar, similarity), "links"))
-            many = mixed.where(F.col("count") > INSIDE)
-            if turn > ORDERS or not many.limit(1).count():
+            if turn > ORDERS or not heads.where(F.col("total") > INSIDE).limit(1).count():
                 break
-            finer = many.join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node")).select("node", "label", "bucket", F.explode("bands").alias("other"))
-            mixed = finer.where("bucket != other").select("node", "label", F.xxhash64("bucket", "other").alias("bucket"))
-            buckets = materialize(mixed.select("node", "bucket"), "finer")
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")), F.col("node").alias("node"), F.col("label").alias("label")))
-        leaders = mixed.groupBy("bucket").agg(first.alias("f")).select(F.col("bucket").alias("l_bucket"), F.col("f.node").alias("leader"), F.col("f.label").alias("l_label"))
-        pairs = materialize(mixed.join(leaders, F.col("bucket") == F.col("l_bucket")).where("label != l_label").select("leader", "node").distinct(), "pairs")
+            many = named.join(heads.where(F.col("total") > INSIDE), F.col("bucket") == F.col("h_bucket")).select("bucket", "node")
+            finer = many.join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node")).select("node", "bucket", F.explode("bands").alias("other"))
+            buckets = materialize(finer.where("bucket != other").select("node", F.xxhash64("bucket", "other").alias("bucket")), "finer")
+            named = labelled(buckets, label)
+        met = named.join(mixed(named, turn), (F.col("bucket") == F.col("h_bucket")) & (F.col("label") != F.col("h_label")))
+        pairs = materialize(met.select("leader", "node").distinct(), "pairs")
         near = materialize(verified(texts, pairs, features, similar, similarity), "links")
         links = near if links is None else links.unionByName(near)
         label = components(links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
@@ -119,6 +114,27 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
     return found.select(F.col("id").alias(key), "class_id", F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def labelled(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
+    """node, bucket, label: the node's component, at first the node itself."""
+    if label is None:
+        return buckets.select("node", "bucket", F.col("node").alias("label"))
+    known = label.select(F.col("node").alias("n_node"), "label")
+    return buckets.join(known, F.col("node") == F.col("n_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+
+
+def mixed(named: DataFrame, turn: int) -> DataFrame:
+    """h_bucket, total, leader, h_label of the buckets whose nodes are not all in one component.
+
+    The leader is a node of the component that most of the bucket's nodes are in,
+    so that only the others have to be compared with it.
+    """
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("node")))
+    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), first.alias("f"))
+    best = F.max(F.struct("c", "f.o", "f.node", "label"))
+    heads = groups.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), best.alias("b")).where("k > 1")
+    return heads.select(F.col("bucket").alias("h_bucket"), "total", F.col("b.node").alias("leader"), F.col("b.label").alias("h_label"))
+
+
 def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
     """leader, node of the pairs whose texts (t_node, body) are similar.
 
