@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import vectors
-from sluice.llm.store import materialize
+from sluice.llm.store import materialize, release
 
 U64 = np.uint64
 END, START = vectors.stream(31, 2)
@@ -208,6 +208,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     blocks = _blocks(docs, key, text, parts)
     asked = blocks.mapInArrow(_ask(shards), "shard int, block bigint, kind int, hashes binary, counts binary")
     answers = materialize(asked.groupBy("shard", "kind").applyInArrow(_answer(parts), "block bigint, shard int, kind int, all binary, kept binary"), "answers")
+    del asked
+    release(spark)
     sums = {0: np.zeros(4, np.int64), 1: np.zeros(4, np.int64)}
     for row in answers.where("block = -1").select("kind", "all").collect():  # one row for each shard and kind
         sums[row["kind"]] = sums[row["kind"]] + np.frombuffer(row["all"], np.int64)
@@ -231,6 +233,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     seen = deleted.groupBy("block").cogroup(wanted.groupBy("a_block")).applyInArrow(observe, "b bigint, p2 bigint, p1 bigint, n bigint")
     cells = seen.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS x GRID x GRID rows
     cells = np.stack([cells[c].to_numpy() for c in ("b", "p2", "p1", "n")], axis=1) if cells.num_rows else np.zeros((0, 4), np.int64)
+    del seen
+    release(spark)
     weights = expectation_maximisation(cells[np.lexsort(cells.T)], 1 / (v_kept + 1))
     kind = docs.schema[key].dataType.simpleString()
 

@@ -44,10 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    release(spark)
     df.coalesce(3 * spark.sparkContext.defaultParallelism).write.parquet(path)
     atexit.register(_remove, spark, path)
-    del df
-    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -56,7 +55,8 @@ def release(spark: SparkSession) -> None:
 
     Spark finds them when the driver's heap is collected, which a driver with
     little to do may not come to for a long time; without this a chain of steps
-    keeps the files of all of them.
+    keeps the files of all of them. It has to come after the plans are let go:
+    what is still held then is kept all the longer.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
