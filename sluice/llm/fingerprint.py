@@ -159,7 +159,7 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     def features(texts: pa.Array) -> list[np.ndarray]:
         return [h[a:b] for h, p in sets(texts) for a, b in zip(p[:-1], p[1:], strict=True)]
 
-    return links.classes(docs, banded, features, jaccard, key, text, similarity)
+    return links.classes(docs, banded, features, jaccard, shortlist, key, text, similarity)
 
 
 def sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,3 +172,10 @@ def jaccard(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether sets of sorted distinct shingle hashes have a Jaccard similarity of `similarity` or more."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared > 0 and shared >= similarity * (len(a) + len(b) - shared)
+
+
+def shortlist(one: list[np.ndarray], two: list[np.ndarray], similarity: float) -> list[list[int]]:
+    """The places of the pairs of sets whose Jaccard similarity is about `similarity` or more."""
+    a, b = (np.array([len(x) for x in side], float) for side in (one, two))
+    both = links.shared(*([(x, np.ones(len(x))) for x in side] for side in (one, two)))
+    return np.argwhere((both > 0) & (both * (1 + 1e-4) >= similarity * (a[:, None] + b[None] - both))).tolist()

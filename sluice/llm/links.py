@@ -4,12 +4,11 @@ Documents with equal features are one node. Nodes that share a band are
 candidates; in each band's bucket the nodes are compared with one leader, in
 ORDERS rounds with another leader each. Verified links are joined into connected
 components, and later rounds leave out buckets whose nodes are all in one
-component. What is left in the end is compared inside one task where a bucket
-has at most INSIDE nodes. Larger buckets are dealt once into finer ones, by the
-bucket and each other band of a node, where a node meets another leader for each
-of its bands, and then inside one task again. No group is compared all with all.
-A link can be missed where all these leaders are unlike a node that is like
-another member of a very large bucket; see the README for how often.
+component. What is left in the end is compared all with all, but for nodes of one
+component: inside one task where a bucket has at most INSIDE nodes, and in blocks
+of about INSIDE by INSIDE nodes where it has more. So nothing is capped: any two
+nodes that share a band are compared or are in one component without it. The work
+of the blocks grows with the square of the nodes that no leader was like.
 
 Nothing is collected: buckets, links and components stay in DataFrames.
 """
@@ -53,12 +52,14 @@ def digests(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
         return vectors.mix(vectors.mix(sums(vectors.mix(hashes))) + sums(vectors.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))))
 
 
-def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Callable, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Callable, shortlist: Callable, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """key, class_id, copy_of, n_links for every row of docs.
 
     bands(texts) gives node numbers and band hashes (texts x bands; zeros for
     texts without words) of an Arrow string column; features(texts) gives what
-    similar(one's features, another's, similarity) compares. A link is a pair of
+    similar(one's features, another's, similarity) compares; shortlist(list of
+    features, list of features, similarity) gives the places of all pairs that can
+    be similar, and may give more. A link is a pair of
     nodes that are similar. class_id is the smallest key in the connected
     component, copy_of the smallest key with the same node, n_links the number of
     the node's verified links.
@@ -85,26 +86,23 @@ def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Calla
     wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = materialize(source.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select(F.col("node").alias("t_node"), "body"), "texts")
 
-    links, label, turn = None, None, 0
-    while True:
+    links, label = None, None
+    for turn in range(ORDERS):
         named = labelled(buckets, label)
-        if turn >= ORDERS:
-            heads = materialize(mixed(named, turn), "heads")
-            few = named.join(heads.where(F.col("total") <= INSIDE), F.col("bucket") == F.col("h_bucket")).select("bucket", "node", "label")
-            links = links.unionByName(materialize(inside(texts, few, features, similar, similarity), "links"))
-            if turn > ORDERS or not heads.where(F.col("total") > INSIDE).limit(1).count():
-                break
-            many = named.join(heads.where(F.col("total") > INSIDE), F.col("bucket") == F.col("h_bucket")).select("bucket", "node")
-            finer = many.join(nodes.select(F.col("node").alias("b_node"), "bands"), F.col("node") == F.col("b_node")).select("node", "bucket", F.explode("bands").alias("other"))
-            buckets = materialize(finer.where("bucket != other").select("node", F.xxhash64("bucket", "other").alias("bucket")), "finer")
-            named = labelled(buckets, label)
         met = named.join(mixed(named, turn), (F.col("bucket") == F.col("h_bucket")) & (F.col("label") != F.col("h_label")))
         pairs = materialize(met.select("leader", "node").distinct(), "pairs")
         near = materialize(verified(texts, pairs, features, similar, similarity), "links")
         links = near if links is None else links.unionByName(near)
-        label = components(links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
-        turn += 1
-    both = materialize(links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "edges")
+        label = components(edges(links))
+    for small in (True, False):
+        named = labelled(buckets, label)
+        heads = materialize(mixed(named, ORDERS).where((F.col("total") <= INSIDE) == F.lit(small)), "heads")
+        if not heads.limit(1).count():
+            continue
+        near = materialize(inside(texts, blocks(named, heads), features, similar, shortlist, similarity), "links")
+        links = links.unionByName(near)
+        label = components(edges(links)) if small else label
+    both = materialize(edges(links), "edges")
     label = components(both)
     joined = nodes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     named = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -122,8 +120,13 @@ def labelled(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
     return buckets.join(known, F.col("node") == F.col("n_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
 
 
+def edges(links: DataFrame) -> DataFrame:
+    """a, b: each link once, the smaller node first."""
+    return links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+
 def mixed(named: DataFrame, turn: int) -> DataFrame:
-    """h_bucket, total, leader, h_label of the buckets whose nodes are not all in one component.
+    """h_bucket, total, most, leader, h_label of the buckets whose nodes are not all in one component.
 
     The leader is a node of the component that most of the bucket's nodes are in,
     so that only the others have to be compared with it.
@@ -132,7 +135,7 @@ def mixed(named: DataFrame, turn: int) -> DataFrame:
     groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), first.alias("f"))
     best = F.max(F.struct("c", "f.o", "f.node", "label"))
     heads = groups.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), best.alias("b")).where("k > 1")
-    return heads.select(F.col("bucket").alias("h_bucket"), "total", F.col("b.node").alias("leader"), F.col("b.label").alias("h_label"))
+    return heads.select(F.col("bucket").alias("h_bucket"), "total", F.col("b.c").alias("most"), F.col("b.node").alias("leader"), F.col("b.label").alias("h_label"))
 
 
 def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
@@ -167,29 +170,90 @@ def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Ca
     return dealt_out.mapInArrow(compare, "leader bigint, node bigint").distinct()
 
 
-def inside(texts: DataFrame, rows: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
-    """leader, node: the similar pairs of different labels within buckets of at most INSIDE nodes."""
+def blocks(named: DataFrame, heads: DataFrame) -> DataFrame:
+    """bucket, left, right, side, node, label: the blocks in which the buckets of heads are compared.
+
+    A bucket of at most INSIDE nodes is one block. In a larger one the nodes
+    outside its largest component (the others) and those in it are each cut into
+    chunks of about INSIDE. Each chunk of others meets itself, the later chunks of
+    others and all chunks of the largest component, whose nodes don't meet each
+    other. A block whose chunks differ has one on each side (0 and 1).
+    """
+    cuts = heads.select(
+        "h_bucket", "h_label", (F.col("total") <= INSIDE).alias("whole"),
+        F.ceil((F.col("total") - F.col("most")) / INSIDE).alias("others"), F.ceil(F.col("most") / INSIDE).alias("mosts"),
+    )
+    met = named.join(cuts, F.col("bucket") == F.col("h_bucket"))
+    dealt = F.xxhash64("node", "bucket")
+    other = F.col("label") != F.col("h_label")
+    place = F.when(F.col("whole"), F.lit(0)).when(other, F.pmod(dealt, F.col("others"))).otherwise(F.col("others") + F.pmod(dealt, F.col("mosts")))
+    chunks = F.when(F.col("whole"), F.lit(1)).when(other, F.col("others") + F.col("mosts")).otherwise(F.col("others"))
+    placed = met.select("bucket", "node", "label", place.cast("int").alias("place"), chunks.cast("int").alias("chunks"))
+    each = placed.select("bucket", "node", "label", "place", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
+    return each.select("bucket", F.least("place", "with").alias("left"), F.greatest("place", "with").alias("right"), (F.col("place") > F.col("with")).cast("int").alias("side"), "node", "label")
+
+
+def inside(texts: DataFrame, rows: DataFrame, features: Callable, similar: Callable, shortlist: Callable, similarity: float) -> DataFrame:
+    """leader, node: similar pairs of different labels within blocks, see blocks().
+
+    Two nodes that links of the block join already are not compared again.
+    """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = rows.join(texts, F.col("node") == F.col("t_node")).select("bucket", "node", "label", "body")
-    dealt_out = read.repartition(n, "bucket").sortWithinPartitions("bucket")
+    read = rows.join(texts, F.col("node") == F.col("t_node")).select("bucket", "left", "right", "side", "node", "label", "body")
+    dealt_out = read.repartition(n, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+
+    def links_of(block: list[tuple]) -> Iterator[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(label: int) -> int:
+            while (up := root.get(label, label)) != label:
+                label = up
+            return label
+
+        sides = [[b for b in block if b[0] == side] for side in (0, 1)]
+        one, two = sides if sides[1] else (sides[0], sides[0])
+        for i, j in shortlist([b[3] for b in one], [b[3] for b in two], similarity):
+            if one is two and i >= j:
+                continue
+            (_, a, a_label, x), (_, b, b_label, y) = one[i], two[j]
+            p, q = find(a_label), find(b_label)
+            if p != q and similar(x, y, similarity):
+                root[max(p, q)] = min(p, q)
+                yield a, b
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, []
+        packed = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["leader", "node"])
         for batch in batches:
-            found: tuple[list[int], list[int]] = ([], [])
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                for bucket, node, label, values in zip(*(part.column(i).to_pylist() for i in range(3)), features(part.column(3)), strict=True):
-                    if bucket != held:
-                        held, own = bucket, []
-                    for other, their_label, theirs in own:
-                        if label != their_label and similar(theirs, values, similarity):
-                            found[0].append(other)
-                            found[1].append(node)
-                    own.append((node, label, values))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["leader", "node"])
+                for bucket, left, right, side, node, label, values in zip(*(part.column(i).to_pylist() for i in range(6)), features(part.column(6)), strict=True):
+                    if (bucket, left, right) != held:
+                        yield packed([*links_of(own)])
+                        held, own = (bucket, left, right), []
+                    own.append((side, node, label, values))
+        yield packed([*links_of(own)])
+
+    return dealt_out.mapInArrow(compare, "leader bigint, node bigint").distinct()
+
 
-    return dealt_out.mapInArrow(compare, "leader bigint, node bigint").where("leader != node").distinct()
+def shared(one: list[tuple[np.ndarray, np.ndarray]], two: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum over common hashes of the product of their values, for all pairs of (hashes, values)."""
+    out = np.zeros((len(one), len(two)))
+    flat = [np.concatenate([h for h, _ in side] or [np.zeros(0, np.uint64)]) for side in (one, two)]
+    common = np.intersect1d(*flat)
+    for first in range(0, len(common), 4096):
+        some = common[first : first + 4096]
+        tables = []
+        for side, hashes in zip((one, two), flat, strict=True):
+            at = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+            known = some[at] == hashes
+            owner = np.repeat(np.arange(len(side)), [len(h) for h, _ in side])
+            table = np.zeros((len(side), len(some)), np.float32)
+            table[owner[known], at[known]] = np.concatenate([v for _, v in side])[known]
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

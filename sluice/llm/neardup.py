@@ -144,6 +144,20 @@ def alike(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarr
     return shared >= similarity * (v_sum + w_sum - shared) or n >= similarity * (len(x) + len(y) - n)
 
 
+def shortlist(one: list, two: list, similarity: float) -> list[list[int]]:
+    """The places of all pairs of bags that can be alike, and of few others.
+
+    The smaller of two weights is at most the root of their product, and equal to
+    it where they are equal.
+    """
+    close = np.zeros((len(one), len(two)), bool)
+    for value, size in ((np.sqrt, 2), (np.ones_like, None)):
+        a, b = (np.array([x[2] if size else len(x[0]) for x in side], float) for side in (one, two))
+        both = links.shared([(h, value(w)) for h, w, _ in one], [(h, value(w)) for h, w, _ in two])
+        close |= (both > 0) & (both * (1 + 1e-4) >= similarity * (a[:, None] + b[None] - both))
+    return np.argwhere(close).tolist()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """key, class_id, copy_of, n_links for every row of docs; see links.classes.
 
@@ -172,7 +186,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             out += [(hashes[a:b], weights[a:b], float(weights[a:b].sum())) for a, b in zip(places[:-1], places[1:], strict=True)]
         return out
 
-    return links.classes(docs, bands, features, alike, key, text, similarity)
+    return links.classes(docs, bands, features, alike, shortlist, key, text, similarity)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
