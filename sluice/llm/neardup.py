@@ -4,8 +4,10 @@ A text is a bag of five-word shingles with weights (1 + ln tf) x idf. A sample
 picks the shingle with the smallest a = c / (y e^r), where r and c are
 Gamma(2, 1) and beta uniform by shingle and sample, t = floor(ln w / r + beta) and
 y = e^(r (t - beta)); two texts pick the same (shingle, t) with a probability
-equal to their weighted Jaccard similarity (Ioffe, 2010). Bands of samples give
-candidates, which the weighted Jaccard similarity itself verifies.
+equal to their weighted Jaccard similarity (Ioffe, 2010). As many further samples
+weigh all shingles alike, so that they agree with a probability equal to the plain
+Jaccard similarity. Bands of either samples give candidates, which the similarities
+themselves verify.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ _random = np.random.Generator(np.random.PCG64(2010))
 _R = _random.gamma(2.0, 1.0, _SIZE)
 _LNC = np.log(_random.gamma(2.0, 1.0, _SIZE))
 _BETA = _random.random(_SIZE)
-_A = (vectors.stream(21, SAMPLES) >> U64(32)).astype(U32) | U32(1)
-_B = (vectors.stream(22, SAMPLES) >> U64(32)).astype(U32)
+#: Multipliers and offsets: the first SAMPLES for weighted samples, the others for plain ones.
+_A = (vectors.stream(21, 2 * SAMPLES) >> U64(32)).astype(U32) | U32(1)
+_B = (vectors.stream(22, 2 * SAMPLES) >> U64(32)).astype(U32)
 _TOP = 1 + LIFT
+#: Keeps the band hashes of plain samples apart from those of weighted ones.
+_PLAIN = vectors.stream(23, 1)[0]
 
 
 def _ln_a(at: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
@@ -115,6 +120,22 @@ def idf(docs: DataFrame, text: str = "text") -> Idf:
     return Idf(n, found["hash"].to_numpy().view(U64), found["df"].to_numpy())
 
 
+def plain_samples(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """texts x SAMPLES: the least permuted shingle by each sample, for texts that have shingles."""
+    x, starts = (hashes >> U64(32)).astype(U32), places[:-1]
+    out = np.empty((SAMPLES, len(starts)), U32)
+    for k in range(SAMPLES):
+        np.minimum.reduceat(x * _A[SAMPLES + k] + _B[SAMPLES + k], starts, out=out[k])
+    return out.T
+
+
+def bands_of(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """texts x 2 BANDS: the band hashes of weighted and of plain samples, for texts that have shingles."""
+    picked = np.concatenate([links.band(samples(hashes, weights, places), BANDS), links.band(plain_samples(hashes, places), BANDS)], axis=1)
+    picked[:, BANDS:] ^= _PLAIN
+    return picked
+
+
 def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
     """texts x SAMPLES: the (a, shingle) picked by each sample, for texts that have shingles."""
     x = (hashes >> U64(32)).astype(U32)
@@ -164,19 +185,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Texts are near duplicates at a weighted (or plain) Jaccard similarity of
     `similarity` or more. idf weighs down the passages that many texts share, so
     that they make fewer candidates; it lies between 1 and 1 + LIFT, so that a
-    group of copies, however large, keeps enough weight on its own shingles.
+    group of copies, however large, keeps enough weight on its own shingles. Bands
+    of plain samples make candidates of the pairs whose weights hide a plain
+    similarity.
     """
     table = docs.sparkSession.sparkContext.broadcast(idf(docs, text))
 
     def bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nodes, hashed = np.zeros(len(texts), U64), np.zeros((len(texts), BANDS), U64)
+        nodes, hashed = np.zeros(len(texts), U64), np.zeros((len(texts), 2 * BANDS), U64)
         for first, places, hashes, tf in bags(texts):
             full = np.flatnonzero(np.diff(places))
             with np.errstate(over="ignore"):
                 nodes[first : first + len(places) - 1] = links.digests(vectors.mix(hashes) + tf.astype(U64), places)
             if len(full):
                 weights = (1 + np.log(tf)) * table.value(hashes)
-                hashed[first + full] = links.band(samples(hashes, weights, np.append(places[full], len(hashes))), BANDS)
+                hashed[first + full] = bands_of(hashes, weights, np.append(places[full], len(hashes)))
         return nodes, hashed
 
     def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, float]]:

@@ -45,3 +45,30 @@ def test_shortlist_has_all_that_are_alike():
     found = {tuple(p) for p in neardup.shortlist(bags[:30], bags[30:], 0.8)}
     alike = {(i, j) for i in range(30) for j in range(30) if neardup.alike(bags[i], bags[30 + j], 0.8)}
     assert alike and alike <= found
+
+
+@pytest.mark.parametrize("times", [2, 3, 10])
+def test_repeated_text_is_a_candidate(spark, times):
+    """A text and itself several times over have a plain similarity of 0.98, whatever tf weighs."""
+    rnd = random.Random(times)
+    docs = []
+    for i in range(100):
+        own = " ".join(f"w{rnd.randint(0, 10**9)}" for _ in range(200))
+        docs += [(2 * i, own), (2 * i + 1, " ".join([own] * times))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_at_plain_similarity_on_frequent_passages(similarity):
+    """Common shingles at idf 1, own ones at 1 + LIFT: candidates by the plain similarity."""
+    rng, lost, pairs = np.random.default_rng(9), 0, 1000
+    common = round(300 * similarity)
+    own = (300 - common) // 2
+    for _ in range(pairs):
+        h = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
+        w = np.where(np.arange(len(h)) < common, 1.0, 1 + neardup.LIFT)
+        of = [np.flatnonzero((np.arange(len(h)) < common + own) if side else (np.arange(len(h)) < common) | (np.arange(len(h)) >= common + own)) for side in (0, 1)]
+        a, b = (neardup.bands_of(h[x], w[x], np.array([0, len(x)]))[0] for x in of)
+        lost += not (a == b).any()
+    assert lost <= 1
