@@ -4,7 +4,7 @@ P(w | h) mixes maximum-likelihood estimates: of the bigram, c(h, w) / c(h), of
 the word, c(w) / N, and of any word, 1 / (V + 1). The weights depend on how often
 the context h was seen (buckets of powers of two) and are learned by
 expectation-maximisation on counts of a part of the training texts that was left
-out of (deleted from) the counts.
+out of (deleted from) the counts. Scores use the counts of all training texts.
 
 Counting without a row for each token: the texts of one input partition make a
 block. A block sends its distinct word and bigram hashes, sorted and packed,
@@ -131,7 +131,8 @@ class Block:
     block are held, not all figures of all its tokens.
     """
 
-    def __init__(self, texts: pa.ChunkedArray, answers: pa.Table):
+    def __init__(self, texts: pa.ChunkedArray, answers: pa.Table, counts: str):
+        """counts: the column of answers that is used, all or kept (without the deleted fold)."""
         self.pieces = [c.slice(i, 1024) for c in texts.chunks for i in range(0, len(c), 1024)]
         self.words, self.pairs = np.zeros(0, U64), np.zeros(0, U64)
         for some in range(0, len(self.pieces), 4):
@@ -139,23 +140,22 @@ class Block:
             self.words = np.unique(np.concatenate([self.words, *(f for f, _ in found)]))
             self.pairs = np.unique(np.concatenate([self.pairs, *(bigrams(f, s) for f, s in found)]))
         order = np.lexsort((answers["shard"].to_numpy(), answers["kind"].to_numpy()))
-        kinds, every, kept = answers["kind"].to_numpy()[order], answers["all"], answers["kept"]
-        got = lambda column, kind, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(column[int(i)].as_buffer(), dtype) for i, k in zip(order, kinds, strict=True) if k == kind)])
-        self.word, self.word_kept, self.pair_kept = got(every, 0, np.int64), got(kept, 0, np.int64), got(kept, 1, np.int32)
-        if len(self.word) != len(self.words) or len(self.pair_kept) != len(self.pairs):
+        kinds, column = answers["kind"].to_numpy()[order], answers[counts]
+        got = lambda kind, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(column[int(i)].as_buffer(), dtype) for i, k in zip(order, kinds, strict=True) if k == kind)])
+        self.word, self.pair = got(0, np.int64), got(1, np.int32)
+        if len(self.word) != len(self.words) or len(self.pair) != len(self.pairs):
             raise ValueError("a block's texts differ from those that were counted; write the input to a table first")
 
-    def parts(self, texts_kept: int):
-        """For some texts at a time: starts, and for each token its count in training,
-        its and its bigram's without the deleted fold, and its context's."""
+    def parts(self, n_texts: int):
+        """For some texts at a time: starts, and for each token its count, its bigram's and
+        its context's; n_texts is how many texts were counted."""
         for piece in self.pieces:
             flat, starts = tokens(piece)
-            place = np.searchsorted(self.words, flat)
-            kept = self.word_kept[place]
-            context = np.empty_like(kept)
-            context[1:] = kept[:-1]
-            context[starts[:-1]] = texts_kept
-            yield starts, self.word[place], kept, self.pair_kept[np.searchsorted(self.pairs, bigrams(flat, starts))], context
+            word = self.word[np.searchsorted(self.words, flat)]
+            context = np.empty_like(word)
+            context[1:] = word[:-1]
+            context[starts[:-1]] = n_texts
+            yield starts, word, self.pair[np.searchsorted(self.pairs, bigrams(flat, starts))], context
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -192,8 +192,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     Tokens are runs of other than blanks, A-Z lower-cased, and an end after each
     text; a null or empty text has the end alone. Rows of fold 2 are held out;
     null keys too. base_score adds up log10((c + 1) / (N + V + 1)) with the
-    training counts; score is log10 of the interpolated model's probability. Both
-    have every token; n_known counts those with c > 0.
+    training counts; score is log10 of the interpolated model's probability, whose
+    estimates come from all training texts (its weights from those but fold 3, and
+    fold 3). Both have every token; n_known counts those with c > 0.
 
     docs is read once for counting and once for scoring and has to give the same
     partitions both times, as a table does; a difference is an error, not a wrong
@@ -214,14 +215,14 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     for row in answers.where("block = -1").select("kind", "all").collect():  # one row for each shard and kind
         sums[row["kind"]] = sums[row["kind"]] + np.frombuffer(row["all"], np.int64)
     n, v, n_kept, v_kept = (int(x) for x in sums[0])
-    texts_kept = docs.where(~fold(F.col(key)).isin(2, 3)).count()
+    texts_all, texts_kept = (docs.where(~fold(F.col(key)).isin(*left)).count() for left in ((2,), (2, 3)))
     answers = answers.where("block >= 0").withColumnRenamed("block", "a_block")
 
     def observe(left: pa.Table, right: pa.Table) -> pa.Table:
         counts = np.zeros(CONTEXTS * GRID * GRID, np.int64)
         step = lambda p: np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, GRID - 2), GRID - 1).astype(np.int64)
         if left.num_rows:
-            for _, _, kept, pair, context in Block(left["body"], right).parts(texts_kept):
+            for _, kept, pair, context in Block(left["body"], right, "kept").parts(texts_kept):
                 cell = (bucket(context) * GRID + step(pair / np.maximum(context, 1))) * GRID + step(kept / max(1, n_kept))
                 counts += np.bincount(cell, minlength=len(counts))
         cells = np.flatnonzero(counts)
@@ -229,7 +230,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         return pa.table({c: x.astype(np.int64) for c, x in zip(("b", "p2", "p1", "n"), columns, strict=True)})
 
     deleted = blocks.where("fold = 3").select("block", "body")
-    wanted = answers.where(F.pmod("a_block", F.lit(2 * parts)) >= parts)
+    wanted = answers.where(F.pmod("a_block", F.lit(2 * parts)) >= parts).drop("all")
     seen = deleted.groupBy("block").cogroup(wanted.groupBy("a_block")).applyInArrow(observe, "b bigint, p2 bigint, p1 bigint, n bigint")
     cells = seen.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS x GRID x GRID rows
     cells = np.stack([cells[c].to_numpy() for c in ("b", "p2", "p1", "n")], axis=1) if cells.num_rows else np.zeros((0, 4), np.int64)
@@ -243,7 +244,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         if not left.num_rows:
             return pa.table(dict.fromkeys(names, pa.array([]))).cast(target)
         sums: tuple[list, ...] = ([], [], [], [])
-        for starts, word, _, pair, context in Block(left["body"], right).parts(texts_kept):
+        for starts, word, pair, context in Block(left["body"], right, "all").parts(texts_all):
             mix = weights[bucket(context)]
             p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(1, n)) + mix[:, 2] / (v + 1)
             found = np.diff(starts), *(np.add.reduceat(x, starts[:-1]) for x in ((word > 0).astype(np.int64), np.log10((word + 1) / (n + v + 1)), np.log10(p)))
@@ -256,4 +257,4 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
     target = pa.schema([(key, id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("a_block")).applyInArrow(score, schema)
+    return blocks.groupBy("block").cogroup(answers.drop("kept").groupBy("a_block")).applyInArrow(score, schema)

@@ -1,6 +1,9 @@
 """Cases that a cut in an operator would lose."""
 
 import random
+import zlib
+from collections import Counter
+from math import log10
 
 import numpy as np
 import pytest
@@ -8,7 +11,7 @@ import pytest
 import plain
 
 pytest.importorskip("public_tokenizers")
-from sluice.llm import links, neardup, vectors  # noqa: E402
+from sluice.llm import links, neardup, ngrams, vectors  # noqa: E402
 
 
 def frame(spark, docs):
@@ -72,3 +75,18 @@ def test_recall_at_plain_similarity_on_frequent_passages(similarity):
         a, b = (neardup.bands_of(h[x], w[x], np.array([0, len(x)]))[0] for x in of)
         lost += not (a == b).any()
     assert lost <= 1
+
+
+def test_scores_use_all_training_counts(spark, monkeypatch):
+    """With given weights, scores are those of the counts of all texts outside fold 2."""
+    given = np.tile([0.6, 0.3, 0.1], (ngrams.CONTEXTS, 1))
+    monkeypatch.setattr(ngrams, "expectation_maximisation", lambda *_: given)
+    rnd = random.Random(2)
+    docs = [(i, " ".join(f"w{rnd.randint(0, 30)}" for _ in range(12))) for i in range(150)]
+    tokens = {i: [None, *plain.TOKEN.findall(t), "END"] for i, t in docs}
+    train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    pairs, context, word = (Counter(x for w in train for x in found(w)) for found in (lambda w: zip(w, w[1:]), lambda w: w[:-1], lambda w: w[1:]))
+    n, v = sum(word.values()), len(word)
+    want = {i: sum(log10(0.6 * pairs[a, b] / max(context[a], 1) + 0.3 * word[b] / n + 0.1 / (v + 1)) for a, b in zip(w, w[1:])) for i, w in tokens.items()}
+    got = {r["doc_id"]: r["score"] for r in ngrams.scores(frame(spark, docs).coalesce(2), parts=2).collect()}
+    assert got == pytest.approx(want)
