@@ -24,6 +24,8 @@ from sluice.llm import links, vectors
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
 RARE, LIFT = 1000, 2.0
+#: Shingles that a partition counts at a time.
+HELD = 4_000_000
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -88,6 +90,25 @@ def bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndar
         yield first, np.searchsorted(owner[at], np.arange(end - first + 1)), hashes[at], np.diff(at, append=len(hashes))
 
 
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, df, total of one partition's texts by lossy counting: each df is short by at most n / RARE."""
+    n, cut, seen, times, missed = 0, 0, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        n += batch.num_rows
+        for _, _, hashes, _ in bags(batch.column(0)):
+            new, more = np.unique(hashes, return_counts=True)
+            both = np.concatenate([seen, new])
+            order = np.argsort(both, kind="stable")
+            both, sums, short = both[order], np.concatenate([times, more])[order], np.concatenate([missed, np.full(len(new), cut)])[order]
+            at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            seen, times, missed = both[at], np.add.reduceat(sums, at) if len(at) else sums, short[at]
+            if len(seen) > HELD:  # what is rare so far is let go; missed is what an entry can have lost before it came
+                keep, cut = (times + missed) * RARE > n, n // RARE
+                seen, times, missed = seen[keep], times[keep], missed[keep]
+    keep = (times + missed) * RARE > n
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), 0)), pa.array(np.append(times[keep], n)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["hash", "df", "total"])
+
+
 def idf(docs: DataFrame, text: str = "text") -> Idf:
     """Document frequencies over all of docs, to within one text in RARE.
 
@@ -96,24 +117,7 @@ def idf(docs: DataFrame, text: str = "text") -> Idf:
     hold back is less than n / RARE in sum.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, times = 0, np.zeros(0, U64), np.zeros(0, np.int64)
-        for batch in batches:
-            n += batch.num_rows
-            for _, _, hashes, _ in bags(batch.column(0)):
-                new, more = np.unique(hashes, return_counts=True)
-                both = np.concatenate([seen, new])
-                order = np.argsort(both, kind="stable")
-                both, sums = both[order], np.concatenate([times, more])[order]
-                at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-                seen, times = both[at], np.add.reduceat(sums, at) if len(at) else sums
-                if len(seen) > 4_000_000:  # as in lossy counting: what is rare so far is let go
-                    keep = times * RARE > n
-                    seen, times = seen[keep], times[keep]
-        keep = (times * RARE > n) & (times > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), 0)), pa.array(np.append(times[keep], n)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["hash", "df", "total"])
-
-    sent = docs.select(F.col(text).cast("string")).mapInArrow(count, "hash bigint, df bigint, total boolean")
+    sent = docs.select(F.col(text).cast("string")).mapInArrow(frequencies, "hash bigint, df bigint, total boolean")
     sums = sent.groupBy("hash", "total").agg(F.sum("df").alias("df"))
     n = docs.count()
     found = sums.where((~F.col("total")) & (F.col("df") * RARE > n)).select("hash", "df").toArrow()

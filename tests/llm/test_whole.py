@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import plain
@@ -90,3 +91,22 @@ def test_scores_use_all_training_counts(spark, monkeypatch):
     want = {i: sum(log10(0.6 * pairs[a, b] / max(context[a], 1) + 0.3 * word[b] / n + 0.1 / (v + 1)) for a, b in zip(w, w[1:])) for i, w in tokens.items()}
     got = {r["doc_id"]: r["score"] for r in ngrams.scores(frame(spark, docs).coalesce(2), parts=2).collect()}
     assert got == pytest.approx(want)
+
+
+def test_document_frequencies_in_small_partitions(spark):
+    docs = [(i, f"own{i}" if i % 200 else "a passage that many have") for i in range(1600)]
+    got = neardup.idf(frame(spark, docs).repartition(8))
+    (_, _, hashes, _), = neardup.bags(pa.array(["a passage that many have"]))
+    assert (got(hashes) < 1 + neardup.LIFT).all()
+
+
+def test_document_frequencies_of_late_shingles(monkeypatch):
+    """What is held back is at most n / RARE, however late a shingle comes."""
+    monkeypatch.setattr(neardup, "HELD", 500)
+    late = "a passage that comes late"
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"own{i} {j}" for j in range(50)] + [late] * (i >= 40 and i % 2))], ["text"]) for i in range(100)]
+    n = sum(b.num_rows for b in batches)
+    (found,) = neardup.frequencies(iter(batches))
+    (_, _, hashes, _), = neardup.bags(pa.array([late]))
+    df = dict(zip(found.column(0).to_numpy().view(np.uint64).tolist(), found.column(1).to_pylist()))
+    assert 30 - n / neardup.RARE <= df[int(hashes[0])] <= 30
