@@ -1,14 +1,17 @@
 """Near-duplicate classes from signature bands.
 
 Documents with equal features are one node. Nodes that share a band are
-candidates; in each band's bucket the nodes are compared with one leader, in
-ORDERS rounds with another leader each. Verified links are joined into connected
-components, and later rounds leave out buckets whose nodes are all in one
-component. What is left in the end is compared all with all, but for nodes of one
-component: inside one task where a bucket has at most INSIDE nodes, and in blocks
-of about INSIDE by INSIDE nodes where it has more. So nothing is capped: any two
-nodes that share a band are compared or are in one component without it. The work
-of the blocks grows with the square of the nodes that no leader was like.
+candidates. In each band's bucket the nodes outside the bucket's largest component
+are compared with one of its nodes, the leader, in ORDERS rounds with another
+leader each; verified links are joined into connected components. Buckets whose
+nodes are all in one component are left out from then on. What is left is compared
+all with all, but for nodes of one component, in blocks of about INSIDE by INSIDE
+nodes. So nothing is capped: any two nodes that share a band are compared or are in
+one component without it. The work of the blocks grows with the square of the
+nodes of a bucket that are like no leader, spread over as many tasks.
+
+Components are kept by node and brought to the buckets by an array of each node's
+shared bands, so that joins have a row for each node, not for each band.
 
 Nothing is collected: buckets, links and components stay in DataFrames.
 """
@@ -23,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import vectors
-from sluice.llm.store import materialize
+from sluice.llm.store import Scratch, materialize, release
 
-#: Rounds of leaders; members compared with one leader in a row; nodes of a bucket
-#: that one task compares with each other, at most.
-ORDERS, BLOCK, INSIDE = 2, 256, 256
+#: Rounds of leaders; members compared with one leader in a row; nodes of a block's
+#: side, and their bytes, on average at most.
+ORDERS, BLOCK, INSIDE, INSIDE_BYTES = 3, 256, 512, 8 << 20
 
 
 def band(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -52,90 +55,116 @@ def digests(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
         return vectors.mix(vectors.mix(sums(vectors.mix(hashes))) + sums(vectors.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))))
 
 
-def classes(docs: DataFrame, bands: Callable, features: Callable, similar: Callable, shortlist: Callable, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """key, class_id, copy_of, n_links for every row of docs.
+def clusters(docs: DataFrame, bands: Callable, features: Callable, similar: Callable, shortlist: Callable, key: str = "doc_id", text: str = "text", similarity: float = 0.8, *, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows (id, h, node) and facts (node, label, own, first) of docs.
 
     bands(texts) gives node numbers and band hashes (texts x bands; zeros for
     texts without words) of an Arrow string column; features(texts) gives what
     similar(one's features, another's, similarity) compares; shortlist(list of
     features, list of features, similarity) gives the places of all pairs that can
-    be similar, and may give more. A link is a pair of
-    nodes that are similar. class_id is the smallest key in the connected
-    component, copy_of the smallest key with the same node, n_links the number of
-    the node's verified links.
+    be similar, and may give more. A link is a pair of nodes that are similar.
 
-    A null or empty text has no words; such texts are one node without links.
-    Repeated rows share their node and class and come back as often. An empty
-    table gives no rows. Null keys are kept; they never name a class that has
-    another key. Other columns are not read.
+    h is xxhash64 of the text, so that id and h name a text even where ids repeat or
+    are null. label is the smallest node of the connected component; own and first
+    are struct<nil, id, h> of the smallest row of the node and of the component
+    (null ids come last, equal ids are ordered by h).
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, hashes = bands(batch.column(1))
+            nodes, hashes = bands(batch.column(2))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(hashes.astype(np.int64).ravel()), hashes.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.astype(np.int64)), lists, pa.array(hashes.any(axis=1))], ["id", "node", "bands", "some"])
-
-    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("body"))
-    rows = materialize(source.mapInArrow(signed, "id bigint, node bigint, bands array<bigint>, some boolean"), "bands")
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("some").alias("some")), "nodes")
-    every = nodes.where("some").select("node", F.explode("bands").alias("bucket"))
+            size = np.where(hashes.any(axis=1), np.diff(vectors.raw(batch.column(2))[1]), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.astype(np.int64)), lists, pa.array(size)], ["id", "h", "node", "bands", "size"])
+
+    body = F.col(text).cast("string")
+    source = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+    rows = scratch.keep(source.mapInArrow(signed, "id bigint, h bigint, node bigint, bands array<bigint>, size bigint"), "rows")
+    own = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "h")).alias("own")
+    nodes = scratch.keep(rows.groupBy("node").agg(own, F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    every = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").count().where("count > 1").select(F.col("bucket").alias("s_bucket"))
-    buckets = materialize(every.join(shared, F.col("bucket") == F.col("s_bucket"), "left_semi"), "buckets")
-    # The texts of candidates are taken from the source once.
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = materialize(source.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select(F.col("node").alias("t_node"), "body"), "texts")
-
-    links, label = None, None
+    some = every.join(shared, F.col("bucket") == F.col("s_bucket"), "left_semi")
+    # At most as many buckets for a node as there are bands.
+    members = scratch.keep(some.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("bucket").alias("buckets")), "members")
+    wanted = members.select(F.col("node").alias("t_node")).join(nodes, F.col("t_node") == F.col("node")).select("t_node", F.col("own.id").alias("t_id"), F.col("own.h").alias("t_h"))
+    read = source.join(wanted, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
+    texts = scratch.keep(read.groupBy("t_node").agg(F.first("body").alias("body")), "texts")
+    release(docs.sparkSession)
+    label = members.select("node", F.col("node").alias("label"))
     for turn in range(ORDERS):
-        named = labelled(buckets, label)
+        named = labelled(members, label)
         met = named.join(mixed(named, turn), (F.col("bucket") == F.col("h_bucket")) & (F.col("label") != F.col("h_label")))
-        pairs = materialize(met.select("leader", "node").distinct(), "pairs")
-        near = materialize(verified(texts, pairs, features, similar, similarity), "links")
-        links = near if links is None else links.unionByName(near)
-        label = components(edges(links))
-    for small in (True, False):
-        named = labelled(buckets, label)
-        heads = materialize(mixed(named, ORDERS).where((F.col("total") <= INSIDE) == F.lit(small)), "heads")
-        if not heads.limit(1).count():
-            continue
-        near = materialize(inside(texts, blocks(named, heads), features, similar, shortlist, similarity), "links")
-        links = links.unionByName(near)
-        label = components(edges(links)) if small else label
-    both = materialize(edges(links), "edges")
-    label = components(both)
-    joined = nodes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    named = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
-    counts = both.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    facts = joined.join(named, "label").select("node", "rep", "class_id").join(counts, "node", "left")
-    found = rows.select("id", "node").join(facts, "node")
-    return found.select(F.col("id").alias(key), "class_id", F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
-
-def labelled(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
-    """node, bucket, label: the node's component, at first the node itself."""
-    if label is None:
-        return buckets.select("node", "bucket", F.col("node").alias("label"))
+        pairs = scratch.keep(met.select("leader", "node").distinct(), "pairs")
+        label = joined(label, scratch.keep(verified(texts, pairs, features, similar, similarity), "links"), scratch)
+    named = labelled(members, label)
+    heads = scratch.keep(mixed(named, ORDERS), "heads")
+    release(docs.sparkSession)
+    label = joined(label, scratch.keep(inside(texts, blocks(named, heads), features, similar, shortlist, similarity), "links"), scratch)
+    together = label.join(nodes.select(F.col("node").alias("n_node"), "own"), F.col("node") == F.col("n_node")).groupBy("label").agg(F.min("own").alias("first"))
+    known = label.join(together, "label").select(F.col("node").alias("l_node"), "label", "first")
+    facts = nodes.join(known, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "own", F.coalesce("first", "own").alias("first"))
+    facts = scratch.keep(facts, "facts")
+    release(docs.sparkSession)
+    return rows.select("id", "h", "node"), facts
+
+
+def classes(docs: DataFrame, *method, key: str = "doc_id", **more) -> DataFrame:
+    """key, class_id, copy_of, class_node for every row of docs; see clusters().
+
+    class_id is the smallest key in the connected component, copy_of the smallest
+    key with equal features. class_node is one number for each class: it tells
+    classes apart whose smallest keys are equal or null.
+
+    A null or empty text has no words; such texts are one node without links.
+    Repeated rows share their node and class and come back as often; different
+    texts of one key are nodes of their own. An empty table gives no rows. Null keys
+    are kept; they name a class only where it has no other key. Other columns are
+    not read. Keys are cast to bigint; one that is no number is an error under ANSI.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows, facts = clusters(docs, *method, key=key, scratch=scratch, **more)
+        found = rows.join(facts, "node").select(F.col("id").alias(key), F.col("first.id").alias("class_id"), F.col("own.id").alias("copy_of"), F.col("label").alias("class_node"))
+        return materialize(found, "classes")
+
+
+def followers(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, h, first of the rows that are not the first of their class, each (id, h) once."""
+    placed = rows.join(facts.select("node", "first"), "node")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    return placed.where(~own).groupBy("id", "h").agg(F.min("first.id").alias("first"))
+
+
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """node, bucket, label, size: a row for each of a node's shared bands."""
     known = label.select(F.col("node").alias("n_node"), "label")
-    return buckets.join(known, F.col("node") == F.col("n_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    return members.join(known, F.col("node") == F.col("n_node")).select("node", "label", "size", F.explode("buckets").alias("bucket"))
 
 
-def edges(links: DataFrame) -> DataFrame:
-    """a, b: each link once, the smaller node first."""
-    return links.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+def joined(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """label with the components that links (leader, node) join made one."""
+    ends = [label.select(F.col("node").alias(f"{c}_node"), F.col("label").alias(c)) for c in ("a", "b")]
+    between = links.join(ends[0], F.col("leader") == F.col("a_node")).join(ends[1], F.col("node") == F.col("b_node")).where("a != b")
+    after = components(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scratch)
+    after = after.select(F.col("node").alias("c_node"), F.col("label").alias("c_label"))
+    return scratch.keep(label.join(after, F.col("label") == F.col("c_node"), "left").select("node", F.coalesce("c_label", "label").alias("label")), "label")
 
 
 def mixed(named: DataFrame, turn: int) -> DataFrame:
-    """h_bucket, total, most, leader, h_label of the buckets whose nodes are not all in one component.
+    """h_bucket, leader, h_label, others, other_bytes, mosts, most_bytes of the buckets
+    whose nodes are not all in one component.
 
-    The leader is a node of the component that most of the bucket's nodes are in,
-    so that only the others have to be compared with it.
+    The leader is a node of the component that most of the bucket's nodes are in
+    (the mosts), so that only the others have to be compared with it.
     """
     first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("node")))
-    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), first.alias("f"))
-    best = F.max(F.struct("c", "f.o", "f.node", "label"))
-    heads = groups.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), best.alias("b")).where("k > 1")
-    return heads.select(F.col("bucket").alias("h_bucket"), "total", F.col("b.c").alias("most"), F.col("b.node").alias("leader"), F.col("b.label").alias("h_label"))
+    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("bytes"), first.alias("f"))
+    best = F.max(F.struct("c", "f.o", "f.node", "label", "bytes"))
+    heads = groups.groupBy("bucket").agg(F.sum("c").alias("total"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("k"), best.alias("b")).where("k > 1")
+    return heads.select(
+        F.col("bucket").alias("h_bucket"), F.col("b.node").alias("leader"), F.col("b.label").alias("h_label"),
+        (F.col("total") - F.col("b.c")).alias("others"), (F.col("bytes") - F.col("b.bytes")).alias("other_bytes"), F.col("b.c").alias("mosts"), F.col("b.bytes").alias("most_bytes"),
+    )
 
 
 def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
@@ -167,21 +196,22 @@ def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Ca
                         found[1].append(want)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["leader", "node"])
 
-    return dealt_out.mapInArrow(compare, "leader bigint, node bigint").distinct()
+    return dealt_out.mapInArrow(compare, "leader bigint, node bigint")
 
 
 def blocks(named: DataFrame, heads: DataFrame) -> DataFrame:
     """bucket, left, right, side, node, label: the blocks in which the buckets of heads are compared.
 
-    A bucket of at most INSIDE nodes is one block. In a larger one the nodes
-    outside its largest component (the others) and those in it are each cut into
-    chunks of about INSIDE. Each chunk of others meets itself, the later chunks of
-    others and all chunks of the largest component, whose nodes don't meet each
-    other. A block whose chunks differ has one on each side (0 and 1).
+    A bucket of at most INSIDE nodes and INSIDE_BYTES is one block. In a larger one
+    the others and the mosts (see mixed()) are each cut into chunks of about that
+    size. Each chunk of others meets itself, the later chunks of others and all
+    chunks of mosts, which don't meet each other. A block whose chunks differ has one
+    on each side (0 and 1).
     """
+    parts = lambda n, size: F.ceil(F.greatest(n / INSIDE, size / INSIDE_BYTES))
     cuts = heads.select(
-        "h_bucket", "h_label", (F.col("total") <= INSIDE).alias("whole"),
-        F.ceil((F.col("total") - F.col("most")) / INSIDE).alias("others"), F.ceil(F.col("most") / INSIDE).alias("mosts"),
+        "h_bucket", "h_label", (parts(F.col("others") + F.col("mosts"), F.col("other_bytes") + F.col("most_bytes")) == 1).alias("whole"),
+        parts(F.col("others"), F.col("other_bytes")).alias("others"), parts(F.col("mosts"), F.col("most_bytes")).alias("mosts"),
     )
     met = named.join(cuts, F.col("bucket") == F.col("h_bucket"))
     dealt = F.xxhash64("node", "bucket")
@@ -256,22 +286,21 @@ def shared(one: list[tuple[np.ndarray, np.ndarray]], two: list[tuple[np.ndarray,
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node of each node's connected component.
 
     edges has a and b. Labels fall to the smallest among neighbours and then to
     the label's own label, so that the rounds grow with the logarithm of the
     longest path; each round is written, which cuts the lineage.
     """
-    edges = materialize(edges, "edges")
+    edges = scratch.keep(edges, "edges")
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    labels = scratch.keep(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = ways.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        lower = materialize(lower, "lower")
+        lower = scratch.keep(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
         jump = lower.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        after = materialize(lower.join(jump, F.col("label") == F.col("j_node")).select("node", "old", F.least("label", "j_label").alias("label")), "labels")
+        after = scratch.keep(lower.join(jump, F.col("label") == F.col("j_node")).select("node", "old", F.least("label", "j_label").alias("label")), "labels")
         labels = after.select("node", "label")
         if not after.where("label != old").limit(1).count():
             return labels

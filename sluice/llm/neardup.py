@@ -1,13 +1,15 @@
 """MinHash near-deduplication: improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a bag of five-word shingles with weights (1 + ln tf) x idf. A sample
+A text is a bag of five-word shingles with weights (1 + DAMP ln tf) x idf. A sample
 picks the shingle with the smallest a = c / (y e^r), where r and c are
 Gamma(2, 1) and beta uniform by shingle and sample, t = floor(ln w / r + beta) and
 y = e^(r (t - beta)); two texts pick the same (shingle, t) with a probability
-equal to their weighted Jaccard similarity (Ioffe, 2010). As many further samples
-weigh all shingles alike, so that they agree with a probability equal to the plain
-Jaccard similarity. Bands of either samples give candidates, which the similarities
-themselves verify.
+equal to their weighted Jaccard similarity (Ioffe, 2010). Bands of samples give
+candidates, which the weighted Jaccard similarity itself verifies.
+
+Both weights are damped: idf lies between 1 and 1 + LIFT. So the weighted similarity
+stays within a few hundredths of that of the plain sets, and neither a passage that
+many texts share nor a text that is repeated within itself hides a near copy.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import links, vectors
+from sluice.llm.store import Scratch, materialize
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
-RARE, LIFT = 1000, 2.0
-#: Shingles that a partition counts at a time.
-HELD = 4_000_000
+RARE, LIFT, DAMP = 1000, 0.1, 0.05
+#: Shingles that a partition counts at a time; entries of the table of frequent shingles, at most.
+HELD, TABLE = 4_000_000, 1_000_000
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -35,12 +38,9 @@ _random = np.random.Generator(np.random.PCG64(2010))
 _R = _random.gamma(2.0, 1.0, _SIZE)
 _LNC = np.log(_random.gamma(2.0, 1.0, _SIZE))
 _BETA = _random.random(_SIZE)
-#: Multipliers and offsets: the first SAMPLES for weighted samples, the others for plain ones.
-_A = (vectors.stream(21, 2 * SAMPLES) >> U64(32)).astype(U32) | U32(1)
-_B = (vectors.stream(22, 2 * SAMPLES) >> U64(32)).astype(U32)
+_A = (vectors.stream(21, SAMPLES) >> U64(32)).astype(U32) | U32(1)
+_B = (vectors.stream(22, SAMPLES) >> U64(32)).astype(U32)
 _TOP = 1 + LIFT
-#: Keeps the band hashes of plain samples apart from those of weighted ones.
-_PLAIN = vectors.stream(23, 1)[0]
 
 
 def _ln_a(at: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
@@ -55,17 +55,16 @@ _BASE = _ln_a(np.arange(_SIZE), np.full(_SIZE, np.log(_TOP)))
 
 
 class Idf:
-    """idf by shingle: 1 + LIFT ln(n / df) / ln RARE, df at least n / RARE.
+    """idf by shingle: 1 + LIFT ln(n / df) / ln rare, df at least n / rare.
 
-    frequent holds the sorted hashes of the shingles in more than one text in
-    RARE, at most RARE x the mean number of shingles of a text, however many
-    texts there are.
+    The table holds the sorted hashes of the shingles in more than one text in
+    rare, fewer than rare x the mean number of shingles of a text.
     """
 
-    def __init__(self, n: int, hashes: np.ndarray, df: np.ndarray):
+    def __init__(self, n: int, hashes: np.ndarray, df: np.ndarray, rare: float = RARE):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.values = 1 + LIFT * np.log(np.clip(n / np.maximum(df[order], 1), 1, RARE)) / np.log(RARE)
+        self.values = 1 + LIFT * np.log(np.clip(n / np.maximum(df[order], 1), 1, rare)) / np.log(rare)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), _TOP)
@@ -90,12 +89,27 @@ def bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndar
         yield first, np.searchsorted(owner[at], np.arange(end - first + 1)), hashes[at], np.diff(at, append=len(hashes))
 
 
+def weights(hashes: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    """The TF-IDF weights of shingles; 1 + LIFT for one that is rare and met once."""
+    return (1 + DAMP * np.log(tf)) * idf(hashes)
+
+
+def rarity(n: int, total: int) -> float:
+    """RARE, or as much less as makes the shingles that are in more than one text in it TABLE at most."""
+    return min(RARE, max(2.0, TABLE * n / max(1, total)))
+
+
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash, df, total of one partition's texts by lossy counting: each df is short by at most n / RARE."""
-    n, cut, seen, times, missed = 0, 0, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """hash, df, kind of one partition's texts by lossy counting: what can be in more than
+    n / rarity(n, all its shingles) of its n texts, each df short by at most a quarter of that.
+
+    kind is 0 for a shingle, 1 for the number of texts and 2 for that of all shingles.
+    """
+    n, total, cut, seen, times, missed = 0, 0, 0, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         n += batch.num_rows
         for _, _, hashes, _ in bags(batch.column(0)):
+            total += len(hashes)
             new, more = np.unique(hashes, return_counts=True)
             both = np.concatenate([seen, new])
             order = np.argsort(both, kind="stable")
@@ -103,41 +117,28 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
             seen, times, missed = both[at], np.add.reduceat(sums, at) if len(at) else sums, short[at]
             if len(seen) > HELD:  # what is rare so far is let go; missed is what an entry can have lost before it came
-                keep, cut = (times + missed) * RARE > n, n // RARE
+                cut = int(n / (4 * rarity(n, total)))
+                keep = times + missed > cut
                 seen, times, missed = seen[keep], times[keep], missed[keep]
-    keep = (times + missed) * RARE > n
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), 0)), pa.array(np.append(times[keep], n)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["hash", "df", "total"])
+    keep = (times + missed) * rarity(n, total) > n
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), [0, 0])), pa.array(np.append(times[keep], [n, total])), pa.array(np.append(np.zeros(keep.sum(), np.int32), np.array([1, 2], np.int32)))], ["hash", "df", "kind"])
 
 
 def idf(docs: DataFrame, text: str = "text") -> Idf:
-    """Document frequencies over all of docs, to within one text in RARE.
+    """Document frequencies over all of docs, to within one text in RARE and a TABLE-th of all shingles.
 
-    A shingle in more than n / RARE of all texts is in more than m / RARE of the m
-    texts of some partition, so each partition sends only those; what the others
-    hold back is less than n / RARE in sum.
+    A shingle in more than n / r of all texts is in more than m / r of the m texts of
+    some partition, so each partition sends only those; what the others hold back is
+    less than the sum of their m / r.
     """
 
-    sent = docs.select(F.col(text).cast("string")).mapInArrow(frequencies, "hash bigint, df bigint, total boolean")
-    sums = sent.groupBy("hash", "total").agg(F.sum("df").alias("df"))
-    n = docs.count()
-    found = sums.where((~F.col("total")) & (F.col("df") * RARE > n)).select("hash", "df").toArrow()
-    return Idf(n, found["hash"].to_numpy().view(U64), found["df"].to_numpy())
-
-
-def plain_samples(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """texts x SAMPLES: the least permuted shingle by each sample, for texts that have shingles."""
-    x, starts = (hashes >> U64(32)).astype(U32), places[:-1]
-    out = np.empty((SAMPLES, len(starts)), U32)
-    for k in range(SAMPLES):
-        np.minimum.reduceat(x * _A[SAMPLES + k] + _B[SAMPLES + k], starts, out=out[k])
-    return out.T
-
-
-def bands_of(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """texts x 2 BANDS: the band hashes of weighted and of plain samples, for texts that have shingles."""
-    picked = np.concatenate([links.band(samples(hashes, weights, places), BANDS), links.band(plain_samples(hashes, places), BANDS)], axis=1)
-    picked[:, BANDS:] ^= _PLAIN
-    return picked
+    sent = docs.select(F.col(text).cast("string")).mapInArrow(frequencies, "hash bigint, df bigint, kind int")
+    sums = materialize(sent.groupBy("hash", "kind").agg(F.sum("df").alias("df")), "frequencies")
+    totals = {r["kind"]: r["df"] for r in sums.where("kind > 0").collect()}  # two rows
+    n = totals.get(1, 0)
+    rare = rarity(n, totals.get(2, 0))
+    found = sums.where((F.col("kind") == 0) & (F.col("df") * rare > n)).select("hash", "df").toArrow()
+    return Idf(n, found["hash"].to_numpy().view(U64), found["df"].to_numpy(), rare)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -158,15 +159,14 @@ def samples(hashes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.n
 
 def alike(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], similarity: float) -> bool:
     """Whether two bags (sorted hashes, weights, their sum) have a weighted Jaccard
-    similarity of `similarity` or more, or their sets of shingles do: no weight
-    can hide a pair that the plain similarity finds."""
+    similarity of `similarity` or more."""
     (x, v, v_sum), (y, w, w_sum) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
-    if not len(y) or max(len(y) / len(x), min(v_sum, w_sum) / max(v_sum, w_sum)) < similarity - 1e-9:
+    if not len(y) or min(v_sum, w_sum) < (similarity - 1e-9) * max(v_sum, w_sum):
         return False
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     same = x[at] == y
-    shared, n = np.minimum(v[at[same]], w[same]).sum(), int(same.sum())
-    return shared >= similarity * (v_sum + w_sum - shared) or n >= similarity * (len(x) + len(y) - n)
+    shared = np.minimum(v[at[same]], w[same]).sum()
+    return bool(shared >= (similarity - 1e-12) * (v_sum + w_sum - shared))
 
 
 def shortlist(one: list, two: list, similarity: float) -> list[list[int]]:
@@ -175,52 +175,59 @@ def shortlist(one: list, two: list, similarity: float) -> list[list[int]]:
     The smaller of two weights is at most the root of their product, and equal to
     it where they are equal.
     """
-    close = np.zeros((len(one), len(two)), bool)
-    for value, size in ((np.sqrt, 2), (np.ones_like, None)):
-        a, b = (np.array([x[2] if size else len(x[0]) for x in side], float) for side in (one, two))
-        both = links.shared([(h, value(w)) for h, w, _ in one], [(h, value(w)) for h, w, _ in two])
-        close |= (both > 0) & (both * (1 + 1e-4) >= similarity * (a[:, None] + b[None] - both))
-    return np.argwhere(close).tolist()
+    a, b = (np.array([total for _, _, total in side], float) for side in (one, two))
+    both = links.shared(*([(h, np.sqrt(w)) for h, w, _ in side] for side in (one, two)))
+    return np.argwhere((both > 0) & (both * (1 + 1e-4) >= similarity * (a[:, None] + b[None] - both))).tolist()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """key, class_id, copy_of, n_links for every row of docs; see links.classes.
-
-    Texts are near duplicates at a weighted (or plain) Jaccard similarity of
-    `similarity` or more. idf weighs down the passages that many texts share, so
-    that they make fewer candidates; it lies between 1 and 1 + LIFT, so that a
-    group of copies, however large, keeps enough weight on its own shingles. Bands
-    of plain samples make candidates of the pairs whose weights hide a plain
-    similarity.
-    """
+def method(docs: DataFrame, text: str = "text") -> tuple:
+    """What links.clusters needs: bands, features, alike and shortlist with the weights of docs."""
     table = docs.sparkSession.sparkContext.broadcast(idf(docs, text))
 
     def bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nodes, hashed = np.zeros(len(texts), U64), np.zeros((len(texts), 2 * BANDS), U64)
+        nodes, hashed = np.zeros(len(texts), U64), np.zeros((len(texts), BANDS), U64)
         for first, places, hashes, tf in bags(texts):
             full = np.flatnonzero(np.diff(places))
             with np.errstate(over="ignore"):
                 nodes[first : first + len(places) - 1] = links.digests(vectors.mix(hashes) + tf.astype(U64), places)
             if len(full):
-                weights = (1 + np.log(tf)) * table.value(hashes)
-                hashed[first + full] = bands_of(hashes, weights, np.append(places[full], len(hashes)))
+                hashed[first + full] = links.band(samples(hashes, weights(hashes, tf, table.value), np.append(places[full], len(hashes))), BANDS)
         return nodes, hashed
 
     def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, float]]:
         out = []
         for _, places, hashes, tf in bags(texts):
-            weights = (1 + np.log(tf)) * table.value(hashes)
-            out += [(hashes[a:b], weights[a:b], float(weights[a:b].sum())) for a, b in zip(places[:-1], places[1:], strict=True)]
+            w = weights(hashes, tf, table.value)
+            out += [(hashes[a:b], w[a:b], float(w[a:b].sum())) for a, b in zip(places[:-1], places[1:], strict=True)]
         return out
 
-    return links.classes(docs, bands, features, alike, shortlist, key, text, similarity)
+    return bands, features, alike, shortlist
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """key, class_id, copy_of, class_node for every row of docs; see links.classes.
+
+    Texts are near duplicates at a weighted Jaccard similarity of `similarity` or
+    more; classes are the connected components.
+    """
+    return links.classes(docs, *method(docs, text), key=key, text=text, similarity=similarity)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each near-duplicate class: that of its smallest key.
 
-    Rows that repeat a key with the same text stay once; rows with null keys stay.
+    Null keys come after all others, equal keys in the order of a hash of their
+    texts. Of rows that repeat both key and text any one stays. Columns are those of
+    docs.
     """
-    found = near_duplicates(docs, key, text, similarity)
-    kept = found.where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    names = ("_near_id", "_near_h")
+    with Scratch(docs.sparkSession) as scratch:
+        rows, facts = links.clusters(docs, *method(docs, text), key=key, text=text, similarity=similarity, scratch=scratch)
+        gone = materialize(links.followers(rows, facts).select("id", "h").toDF(*names), "gone")
+        again = materialize(rows.groupBy("id", "h").count().where("count > 1").select("id", "h").toDF(*names), "again")
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_near_h"))
+    kept = docs.join(gone, same, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, same, "left_anti")
+    return once.unionByName(kept.join(again, same).dropDuplicates(list(names)).select(*docs.columns))

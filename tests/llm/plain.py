@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
+
+import xxhash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,9 +76,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def classes(docs, similarity=0.8):
-    """key to smallest key of its connected component; equal texts are together."""
-    sets, parent = [shingles(t) for _, t in docs], list(range(len(docs)))
+def components(docs, linked):
+    """For each row: its class, as the smallest (key is null, key) and the row numbers; equal texts are together."""
+    parent = list(range(len(docs)))
 
     def find(i):
         while parent[i] != i:
@@ -84,12 +87,35 @@ def classes(docs, similarity=0.8):
 
     for i in range(len(docs)):
         for j in range(i):
-            if jaccard(sets[i], sets[j]) >= similarity:
+            if find(i) != find(j) and linked(i, j):
                 parent[find(i)] = find(j)
     least = {}
     for i, (key, _) in enumerate(docs):
-        least[find(i)] = min(least.get(find(i), key), key)
-    return {key: least[find(i)] for i, (key, _) in enumerate(docs)}
+        least[find(i)] = min(least.get(find(i), (True, 0)), (key is None, key or 0))
+    return [(None if least[find(i)][0] else least[find(i)][1], find(i)) for i in range(len(docs))]
+
+
+def classes(docs, similarity=0.8):
+    """Smallest key of each row's connected component by the plain Jaccard similarity."""
+    sets = [shingles(t) for _, t in docs]
+    return [c for c, _ in components(docs, lambda i, j: jaccard(sets[i], sets[j]) >= similarity)]
+
+
+def weighted_classes(docs, lift, damp, rare=1000, n=5, similarity=0.8):
+    """The components by the weighted Jaccard similarity of TF-IDF shingles, for fewer than `rare` texts."""
+    bags = []
+    for _, t in docs:
+        w = words(t)
+        bags.append(Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter())
+    df = Counter(x for bag in bags for x in bag)
+    weighted = [{x: (1 + damp * log(k)) * (1 + lift * log(len(docs) / df[x]) / log(rare)) for x, k in bag.items()} for bag in bags]
+
+    def linked(i, j):
+        a, b = weighted[i], weighted[j]
+        shared = sum(min(v, b[x]) for x, v in a.items() if x in b)
+        return not a and not b or shared > 0 and shared >= (similarity - 1e-12) * (sum(a.values()) + sum(b.values()) - shared)
+
+    return components(docs, linked)
 
 
 def base_scores(docs):
@@ -110,3 +136,51 @@ def unigram(word: bytes, scores):
         cuts = [(best[i][0] + scores[word[i:end]], best[i][1] - 1) for i in range(end) if word[i:end] in scores]
         best.append(max(cuts))
     return -best[-1][1], best[-1][0]
+
+
+def chats(rows):
+    """For each conversation: turns, calls, results, links, errors and the messages in order."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        hashed = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1] is not None, r[1] or "", hashed(r[2])))
+        tools, asked, errors, messages = None, [], [], []
+        for _, role, text in own:
+            if role == "system" and "<tools>" in text:
+                tools = {t["name"]: t.get("parameters", {}) for t in json.loads(text.split("<tools>")[1].split("</tools>")[0])}
+        for k, (_, role, text) in enumerate(own):
+            message = {"content": text, "role": role}
+            if role == "tool":
+                result = json.loads(text)
+                message |= {"content": result["content"], "tool_call_id": result["tool_call_id"]}
+            if role == "assistant" and "<tool_call>" in text:
+                message["content"] = re.sub("(?s)<tool_call>.*?</tool_call>", "", text).strip(" ")
+                message["tool_calls"] = []
+                for raw in re.findall("(?s)<tool_call>(.*?)</tool_call>", text):
+                    try:
+                        c = json.loads(raw)
+                    except ValueError:
+                        c = {"id": None, "name": None, "arguments": {}}
+                        found = ["unreadable"]
+                    else:
+                        found = [] if tools is None or c["name"] in tools else ["unknown_tool"]
+                        schema = (tools or {}).get(c["name"], {})
+                        found += [f"missing:{a}" for a in schema.get("required", []) if a not in c["arguments"]]
+                        found += [f"type:{a}" for a, v in sorted(c["arguments"].items()) if a in schema.get("properties", {}) and not isinstance(v, {"integer": int, "string": str}[schema["properties"][a]["type"]])]
+                    asked.append((c["id"], k))
+                    message["tool_calls"].append(c)
+                    errors += [f"{c['id'] or '?'}:{e}" for e in found]
+            messages.append(message)
+        first = {}
+        for i, k in asked:
+            first.setdefault(i, k)
+        linked = {k: first[m["tool_call_id"]] for k, m in enumerate(messages) if m["role"] == "tool" and m["tool_call_id"] in first}
+        order, rest = [], [*range(len(own))]
+        while rest:  # the first message whose call is there already
+            k = next(k for k in rest if k not in linked or linked[k] in order)
+            order.append(k)
+            rest.remove(k)
+        ids, results = [i for i, _ in asked if i], [m["tool_call_id"] for m in messages if m["role"] == "tool"]
+        found = errors + [f"duplicate:{i}" for i, n in Counter(ids).items() if n > 1] + [f"unlinked:{i}" for i in results if i not in ids] + [f"unanswered:{i}" for i in {*ids} - {*results}]
+        out[conv] = len(own), len(asked), len(results), len(linked), sorted(found), [messages[k] for k in order]
+    return out
