@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.domain.indicators import BLANKS
+
 # Tactics in their order, each with its techniques.
 TECHNIQUES = {
     "reconnaissance": "T1595 T1592 T1589 T1590 T1591 T1598 T1597 T1596 T1593 T1594",
@@ -31,14 +33,14 @@ _TACTIC = dict(CATALOG)
 
 def normalize_technique(text: str | None) -> str | None:
     """The parent of a well-formed technique id (T1059 or T1059.001), else None."""
-    m = re.fullmatch(r"(T[0-9]{4})(\.[0-9]{3})?", (text or "").strip().upper(), re.ASCII)
+    m = re.fullmatch(r"(T[0-9]{4})(\.[0-9]{3})?", (text or "").strip(BLANKS).upper(), re.ASCII)
     return m[1] if m else None
 
 
 def parent_technique(text: str) -> str | None:
     """T and digits before the first dot, in capitals, else None."""
-    m = re.fullmatch(r"(T[0-9]+)\s*", text.strip().upper().split(".")[0].strip(), re.ASCII)
-    return m[1] if m else None
+    m = re.fullmatch(r"T[0-9]+", text.strip(BLANKS).upper().split(".")[0].strip(BLANKS), re.ASCII)
+    return m[0] if m else None
 
 
 def tactic_for_technique(text: str) -> str | None:
@@ -49,9 +51,19 @@ def techniques_for_tactic(tactic: str) -> list[str]:
     return [t for t, found in CATALOG if found == tactic]
 
 
+def _trimmed(c: Column) -> Column:
+    return F.upper(F.btrim(c, F.lit(BLANKS)))
+
+
+def parent(c: Column) -> Column:
+    """parent_technique as a column."""
+    found = F.btrim(F.substring_index(_trimmed(c), ".", 1), F.lit(BLANKS))
+    return F.when(found.rlike(r"\AT[0-9]+\z"), found)
+
+
 def normalized(c: Column) -> Column:
     """normalize_technique as a column."""
-    found = F.regexp_extract(F.upper(F.trim(c)), r"^(T[0-9]{4})(\.[0-9]{3})?$", 1)
+    found = F.regexp_extract(_trimmed(c), r"\A(T[0-9]{4})(\.[0-9]{3})?\z", 1)
     return F.when(found != "", found)
 
 
@@ -60,9 +72,8 @@ def with_tactic(df: DataFrame, technique: str, name: str = "tactic") -> DataFram
 
     The catalog is a fixed small table, broadcast.
     """
-    known = catalog(df.sparkSession).select(F.col("technique").alias("_t"), F.col("tactic").alias("_tactic"))
-    key = F.regexp_extract(F.upper(F.trim(F.col(technique))), r"^(T[0-9]+)\s*(\..*)?$", 1)
-    return df.join(F.broadcast(known), key == F.col("_t"), "left").drop("_t").withColumnRenamed("_tactic", name)
+    known = catalog(df.sparkSession).select(F.col("technique").alias("#t"), F.col("tactic").alias("#tactic"))
+    return df.join(F.broadcast(known), parent(F.col(technique)) == F.col("`#t`"), "left").drop("#t").withColumnRenamed("#tactic", name)
 
 
 def catalog(spark: SparkSession) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.errors import QueryError
@@ -87,10 +89,52 @@ class Engine:
             df = df.where((F.col("ts") < ts) | (F.col("ts") == ts) & (F.col("id") < id_))
         return df.orderBy(F.desc("ts"), F.desc("id")).limit(size)
 
-    def collect(self, text: str, earliest: int = 0, latest: int = 0, limit: int = 10_000) -> Rows:
-        """The first `limit` rows, with whether there are more."""
+    def masked(self, masks: dict[str, str] | None, salt: str = "") -> Engine:
+        """This engine for a caller under masks. None, for a caller whose masks are not known, is refused."""
+        if masks is None:
+            raise QueryError("a caller's masks have to be known, if there are none as an empty set")
+        return Engine(self.catalog, self.schema.with_masks({**self.schema.masks, **masks}, salt or self.schema.salt), self.limits)
+
+    def within(self, env: str | None) -> Engine:
+        """This engine with tables of one environment only (None: of all)."""
+        return Engine(self.catalog, self.schema.with_env(env), self.limits)
+
+    def collect(self, text: str, earliest: int = 0, latest: int = 0, limit: int = 10_000, budget_ms: int = 0, tag: str | None = None) -> Rows:
+        """The first `limit` rows, with whether there are more.
+
+        budget_ms: the query's jobs are cancelled after so long (0: never). tag: a
+        name by which cancel() ends them from another thread. Both raise QueryError.
+        """
         began = time.monotonic()
         df = self.query(text, earliest, latest)
-        rows = df.limit(limit + 1).collect()
+        jobs, own = df.sparkSession.sparkContext, f"sluice-{uuid.uuid4().hex}"
+        tags = [own, *([tag] if tag else [])]
+        done = threading.Event()
+
+        def watch() -> None:  # again and again, since a query has several jobs
+            done.wait(budget_ms / 1000)
+            while not done.wait(0.2):
+                jobs.cancelJobsWithTag(own)
+
+        for t in tags:
+            jobs.addJobTag(t)
+        if budget_ms > 0:
+            threading.Thread(target=watch, daemon=True).start()
+        try:
+            rows = df.limit(limit + 1).collect()
+        except Exception as why:
+            if "cancel" in str(why).lower():
+                spent = int(1000 * (time.monotonic() - began))
+                raise QueryError(f"the query was cancelled after {spent} ms" + (f" (budget: {budget_ms} ms)" if 0 < budget_ms <= spent else "")) from why
+            raise
+        finally:
+            done.set()
+            for t in tags:
+                jobs.removeJobTag(t)
         stats = {"elapsed_ms": int(1000 * (time.monotonic() - began)), "rows": min(len(rows), limit), "truncated": len(rows) > limit}
         return Rows(df.columns, [list(r) for r in rows[:limit]], stats)
+
+    @staticmethod
+    def cancel(spark: SparkSession, tag: str) -> None:
+        """Ends the jobs that run under a tag now."""
+        spark.sparkContext.cancelJobsWithTag(tag)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from sluice.errors import QueryError
 from sluice.plans.limits import LIST_CHARS
@@ -85,22 +86,26 @@ def sort_key(v: Value) -> Column:
     return F.when(v.column.isNotNull(), F.struct(n.isNull().alias("t"), n.alias("n"), v.column.alias("v")))
 
 
-def aggregate(a: Aggregate, v: Value | None) -> Column:
-    """The aggregate's column, before its alias; with .over() for a window (not dc)."""
+def aggregate(a: Aggregate, v: Value | None, over: WindowSpec | None = None) -> Column:
+    """The aggregate's column, before its alias; over: for each row of a window, not for a group.
+
+    values and list gather all values here; for groups see stages.joined().
+    """
+    made = lambda c: c if over is None else c.over(over)
     if v is None:
-        return F.count(F.lit(1))
+        return made(F.count(F.lit(1)))
     c = v.column
     if a.function == "count":
-        return F.count(c)
+        return made(F.count(c))
     if a.function in ("sum", "avg"):
-        return {"sum": F.sum, "avg": F.avg}[a.function](v.number())
+        return made({"sum": F.sum, "avg": F.avg}[a.function](v.number()))
     if a.function in ("min", "max"):
         pick = {"min": F.min, "max": F.max}[a.function]
-        return pick(sort_key(v))["v"] if v.bag else pick(c)
+        return made(pick(sort_key(v)))["v"] if v.bag else made(pick(c))
     if a.function == "dc":
-        return F.count_distinct(c)
+        return F.count_distinct(c) if over is None else F.size(made(F.collect_set(c))).cast("long")
     if a.function in ("values", "list"):
-        return listed(F.collect_set(v.text()) if a.function == "values" else F.collect_list(v.text()))
+        return listed(made(F.collect_set(v.text()) if a.function == "values" else F.collect_list(v.text())))
     raise QueryError(f"aggregate not supported: {a.function}")
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from sluice.errors import QueryError
 from sluice.functions import scalars
-from sluice.functions.values import Value, aggregate, sort_key
+from sluice.functions.values import Value, aggregate, listed, sort_key
 from sluice.plans.lexer import is_name
+from sluice.plans.limits import LIST_CHARS
 from sluice.plans.nodes import Aggregate, Query, Stage
 from sluice.plans.scope import Scope
 from sluice.sources.leaf import predicate
@@ -22,12 +25,16 @@ BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame) -> bool:
-    """Whether the optimiser's own size estimate allows a broadcast hint."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    """Whether the optimiser's own size estimate allows a broadcast hint; without one (a remote session) it is left to the optimiser."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except (AttributeError, PySparkException):
+        return False
     return int(str(size)) <= BROADCAST_BYTES
 
 
 def q(name: str) -> Column:
+    """A column by its exact name. Names that only a stage uses begin with #, which no field name does."""
     return F.col(f"`{name}`")
 
 
@@ -38,15 +45,20 @@ class Stages:
         self.catalog, self.run = catalog, run
 
     def apply(self, stage: Stage, s: Scope) -> Scope:
-        return s.over(getattr(self, stage.name)(s, **stage.args))
+        return s.over(getattr(self, stage.name)(s, **stage.args), s.loose or stage.loose)
 
-    def _measured(self, s: Scope, a: Aggregate) -> Column:
-        return aggregate(a, s.value(a.field) if a.field else None)
+    def _measured(self, s: Scope, a: Aggregate, over: WindowSpec | None = None) -> Column:
+        return aggregate(a, s.value(a.field) if a.field else None, over)
 
-    def _grouped(self, s: Scope, a: Aggregate, keys: list[Column], names: list[str]) -> DataFrame:
-        if a.function in names:
-            raise QueryError(f"the field {a.function} has the name of the aggregate")
-        return s.df.groupBy(*keys).agg(self._measured(s, a).alias(a.function))
+    def _grouped(self, s: Scope, a: Aggregate, keys: list[Column], names: list[str], made: str | None = None) -> DataFrame:
+        """keys (called names) and the aggregate, called made or after its function."""
+        made = made or a.function
+        if made in names:
+            raise QueryError(f"the field {made} has the name of the aggregate")
+        if a.function not in ("values", "list"):
+            return s.df.groupBy(*keys).agg(self._measured(s, a).alias(made))
+        counted = s.df.select(*keys, s.value(a.field).text().alias("#v")).groupBy(*(q(n) for n in names), "#v").agg(F.count(F.lit(1)).alias("#n"))
+        return joined(counted, names, "#v", "#n", a.function == "list", made)
 
     def stats(self, s: Scope, aggregate: Aggregate, by: tuple[str, ...]) -> DataFrame:
         return self._grouped(s, aggregate, s.grouped(by, "stats"), list(by))
@@ -99,11 +111,11 @@ class Stages:
         The least row is an aggregate, so that rows of a frequent key are reduced
         before they are shuffled.
         """
-        keys = [s.value(n).column.alias(f"_k{i}") for i, n in enumerate(names)]
+        keys = [s.value(n).column.alias(f"#k{i}") for i, n in enumerate(names)]
         first = [c for c in s.columns if c == "ts"] + [c for c in s.columns if c != "ts"]
-        row = F.struct(*(part for c in first for part in (q(c).isNull().alias(f"_n_{c}"), q(c).alias(c))))
-        least = s.df.groupBy(*keys).agg(F.min(row).alias("_row"))
-        return least.select(*(F.col("_row").getField(c).alias(c) for c in s.columns))
+        row = F.struct(*(part for c in first for part in (q(c).isNull().alias(f"#{c}"), q(c).alias(c))))
+        least = s.df.groupBy(*keys).agg(F.min(row).alias("#row"))
+        return least.select(*(q("#row").getField(c).alias(c) for c in s.columns))
 
     def _counted(self, s: Scope, field: str) -> DataFrame:
         if field == "count":
@@ -121,30 +133,38 @@ class Stages:
 
         Groups are aggregated first, with partial sums, and joined back on their
         keys: a window would bring all rows of a frequent key (or all rows, without
-        keys) to one task.
+        keys) to one task. Only where rows were picked by a limit, which can pick
+        others when it is read again, a window reads them once; they are few.
         """
-        keys = [c.alias(f"_k{i}") for i, c in enumerate(s.grouped(by, "eventstats"))]
-        made = s.df.groupBy(*keys).agg(self._measured(s, aggregate).alias("_made"))
+        keys = s.grouped(by, "eventstats")
+        others = [c for c in s.columns if c != aggregate.function]
+        if s.loose:
+            w = Window.partitionBy(*(keys or [F.lit(0)]))
+            return s.df.select(*(q(c) for c in others), self._measured(s, aggregate, w).alias(aggregate.function))
+        names = [f"#k{i}" for i in range(len(by))]
+        made = self._grouped(s, aggregate, [c.alias(n) for c, n in zip(keys, names, strict=True)], names, "#made")
         if not by:
-            found = s.df.drop(aggregate.function).crossJoin(F.broadcast(made))  # made is one row
+            found = s.df.crossJoin(F.broadcast(made))  # made is one row
         else:
-            names = [f"_k{i}" for i in range(len(by))]
-            left = s.df.select("*", *(c.alias(f"_l{i}") for i, c in enumerate(s.grouped(by, "eventstats"))))
+            left = s.df.select("*", *(c.alias(f"#l{i}") for i, c in enumerate(keys)))
             on = None
             for i, n in enumerate(names):
-                same = F.col(f"_l{i}").eqNullSafe(F.col(n))
+                same = q(f"#l{i}").eqNullSafe(q(n))
                 on = same if on is None else on & same
             found = left.join(made, on, "left")
-        others = [c for c in s.columns if c != aggregate.function]
-        return found.select(*(q(c) for c in others), F.col("_made").alias(aggregate.function))
+        return found.select(*(q(c) for c in others), q("#made").alias(aggregate.function))
 
     def rate(self, s: Scope) -> DataFrame:
-        """Change of value by second within each series; null for a drop or no time."""
+        """Change of value by second within each series; null for a drop or no time.
+
+        Rows of one series at one time are taken in the order of their values.
+        """
         if not {"ts", "value"} <= set(s.columns):
             raise QueryError("rate: the fields ts and value are needed")
-        w = Window.partitionBy(*(q(c) for c in s.columns if c not in ("ts", "value"))).orderBy("ts")
+        w = Window.partitionBy(*(q(c) for c in s.columns if c not in ("ts", "value", "rate"))).orderBy("ts", "value")
         rise, time = F.col("value") - F.lag("value").over(w), F.col("ts") - F.lag("ts").over(w)
-        return s.df.withColumn("_rise", rise).withColumn("_time", time).withColumn("rate", F.when((F.col("_rise") >= 0) & (F.col("_time") > 0), F.col("_rise") / F.col("_time"))).drop("_rise", "_time")
+        timed = s.df.withColumns({"#rise": rise, "#time": time})
+        return timed.withColumn("rate", F.when((q("#rise") >= 0) & (q("#time") > 0), q("#rise") / q("#time"))).drop("#rise", "#time")
 
     def eval(self, s: Scope, name: str, tree: tuple) -> DataFrame:
         def resolve(field: str) -> Value:
@@ -170,40 +190,59 @@ class Stages:
                 raise QueryError(f"join: the field {field} is not on the {side} side (in scope: {', '.join(columns)})")
         more = [c for c in right.columns if c not in s.columns]
         if field == "mitre" and s.schema.mitre_rollup:
-            key, other = parent(q(field)), parent(F.col("_key"))
+            key, other = parent(q(field)), parent(q("#key"))
         else:
-            key, other = q(field), F.col("_key")
+            key, other = q(field), q("#key")
             if s.df.schema[field].dataType != right.schema[field].dataType:
                 key, other = key.cast("string"), other.cast("string")
-        named = right.select(q(field).alias("_key"), *(q(c) for c in more))
+        named = right.select(q(field).alias("#key"), *(q(c) for c in more))
         return s.df.join(named, key == other, "left").select(*(q(c) for c in [*s.columns, *more]))
 
     def mvexpand(self, s: Scope, field: str) -> DataFrame:
         """A row for each element of a JSON array (or value of an object; a lone scalar is itself)."""
-        text = s.value(field).text()
-        valid = F.when(F.try_parse_json(text).isNotNull(), F.trim(text))
-        lone = F.array(F.try_parse_json(valid).cast("string"))
-        values = (
-            F.when(valid.startswith("["), F.from_json(valid, "array<string>"))
-            .when(valid.startswith("{"), F.transform(F.map_values(F.from_json(valid, "map<string,variant>")), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
-            .when(valid.isNotNull(), lone)
+        df = s.df.withColumn("#text", F.trim(s.value(field).text())).withColumn("#v", F.try_parse_json("#text"))
+        text, parsed = q("#text"), q("#v")
+        values = F.when(
+            parsed.isNotNull(),
+            F.when(text.startswith("["), F.from_json(text, "array<string>"))
+            .when(text.startswith("{"), F.transform(F.map_values(F.try_variant_get(parsed, "$", "map<string,variant>")), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
+            .otherwise(F.array(parsed.cast("string"))),
         )
         others = [c for c in s.columns if c != field]
-        df = s.df.select(*(q(c) for c in others), F.explode(values).alias(field))
+        df = df.select(*(q(c) for c in others), F.explode(values).alias(field))
         return df.select(*(q(c) for c in (s.columns if field in s.columns else [*s.columns, field])))
 
     def lookup(self, s: Scope, table: str, key: str, output: tuple[str, ...]) -> DataFrame:
         """Left join with the named reference table; OUTPUT columns come from its JSON."""
         kv = self.catalog.table("lookup_kv").where(F.col("name") == table)
-        value = [F.when(F.try_parse_json("val").isNotNull(), F.get_json_object("val", f"$.{c}")).alias(f"_o_{c}") for c in output]
-        kv = kv.select(F.col("key").cast("string").alias("_lk"), *(value or [F.col("val").alias(f"_o_{table}")]))
+        value = [F.when(F.try_parse_json("val").isNotNull(), F.get_json_object("val", f"$.{c}")).alias(f"#o{i}") for i, c in enumerate(output)]
+        kv = kv.select(F.col("key").cast("string").alias("#key"), *(value or [F.col("val").alias("#o0")]))
         added = output or (table,)
-        joined = s.df.join(F.broadcast(kv) if small(kv) else kv, s.value(key).text() == F.col("_lk"), "left")
+        joined = s.df.join(F.broadcast(kv) if small(kv) else kv, s.value(key).text() == q("#key"), "left")
         others = [c for c in s.columns if c not in added]
-        made = joined.select(*(q(c) for c in others), *(F.col(f"_o_{c}").alias(c) for c in added))
+        made = joined.select(*(q(c) for c in others), *(q(f"#o{i}").alias(c) for i, c in enumerate(added)))
         return made.select(*(q(c) for c in [*s.columns, *(c for c in added if c not in s.columns)]))
 
 
+def joined(counted: DataFrame, names: list[str], value: str, times: str, repeated: bool, made: str) -> DataFrame:
+    """For each group of names its sorted values joined by commas, LIST_CHARS at most; null for none.
+
+    counted has each value of a group once, with how often it occurs. Only the first
+    values, whose characters fill the limit, are gathered: first within parts of a
+    group, then within the group, by windows that spill. So no group is held whole,
+    and a group with a third of all values is cut by many tasks.
+    """
+    keys = [q(n) for n in names]
+    text, often = q(value), q(times) if repeated else F.lit(1)
+    cost = F.when(text.isNotNull(), ((F.least(F.length(text), F.lit(LIST_CHARS)) + 1) * F.least(often, F.lit(LIST_CHARS))).cast("long"))
+    for part in (F.pmod(F.xxhash64(text), F.lit(64)), F.lit(0)):
+        w = Window.partitionBy(*keys, part).orderBy(text).rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("#before", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(q("#before") <= LIST_CHARS).drop("#before")
+    short = F.substring(text, 1, LIST_CHARS)
+    each = F.when(text.isNotNull(), F.array_repeat(short, F.least(often, F.lit(LIST_CHARS)).cast("int")) if repeated else F.array(short))
+    return counted.groupBy(*keys).agg(listed(F.flatten(F.collect_list(each))).alias(made))
+
+
 def parent(c: Column) -> Column:
     """The parent technique: what stands before the first dot, in capitals."""
     return F.upper(F.substring_index(c, ".", 1))

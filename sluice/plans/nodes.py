@@ -67,6 +67,11 @@ class Stage:
     name: str
     args: dict = field(default_factory=dict)
 
+    @property
+    def loose(self) -> bool:
+        """Whether it, or a subsearch of it, picks rows by a limit."""
+        return self.name in ("head", "limit") or any(isinstance(v, Query) and any(s.loose for s in v.stages) for v in self.args.values())
+
 
 @dataclass(frozen=True)
 class Query:

@@ -24,12 +24,14 @@ class Scope:
 
     bag is the raw JSON column's name if the base has one (it may have left the
     scope since). Its keys are read from it, so it stays raw until it is copied or
-    the result leaves the query.
+    the result leaves the query. loose: a limit picked the rows, and could pick
+    others when they are read again.
     """
 
     df: DataFrame
     schema: Schema
     bag: str | None = None
+    loose: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -83,8 +85,8 @@ class Scope:
             out.append(self.value(name).column.alias(name))
         return out
 
-    def over(self, df: DataFrame) -> Scope:
-        return Scope(df, self.schema, self.bag)
+    def over(self, df: DataFrame, loose: bool = False) -> Scope:
+        return Scope(df, self.schema, self.bag, loose)
 
     def output(self) -> DataFrame:
         """What leaves a query: the bag goes out redacted."""

@@ -64,7 +64,7 @@ class Leaf:
 
     def table(self, query: TableBase) -> Scope:
         base = self.schema.base(query.keyword)
-        df = self.catalog.table(base.table)
+        df = self.catalog.table(base.table, self.earliest, self.latest)
         df = self.scoped(df, base.time if base.time in df.columns else None)
         if self.schema.env and base.has_env:
             df = df.where(F.col("env_id") == self.schema.env)
@@ -127,7 +127,7 @@ class Leaf:
         """Raw and rolled-up values of one metric, in order of time."""
 
         def leaf(table: str, value: str) -> DataFrame:
-            df = self.scoped(self.catalog.table(table), "ts").where(F.col("name") == query.name)
+            df = self.scoped(self.catalog.table(table, self.earliest, self.latest), "ts").where(F.col("name") == query.name)
             for label, text in query.labels:
                 if label in self.schema.masks:
                     raise QueryError(f"filtering on a masked field is not allowed: {label}")

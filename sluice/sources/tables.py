@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.sources.catalog import Catalog
+from sluice.sources.catalog import Bounded, Catalog
 from sluice.sources.schema import Base, Schema
 
 #: Events from this second on are raw metric values; earlier ones are hourly averages.
@@ -17,19 +19,35 @@ def epoch(c: str):
     return F.expr(f"unix_seconds(from_utc_timestamp(cast({c} as timestamp), current_timezone()))")
 
 
+def between(df: DataFrame, c: str, earliest: int, latest: int) -> DataFrame:
+    """df with c, a timestamp without a zone, within whole seconds (0 for no bound).
+
+    The bounds are literals of the column's own type, so they reach Parquet.
+    """
+    known = [(">=", earliest)] * (earliest > 0) + [("<", latest + 1)] * (latest > 0)
+    for op, seconds in known:
+        if seconds < 253_402_300_800:  # the year 10000
+            df = df.where(F.expr(f"`{c}` {op} timestamp_ntz '{datetime(1970, 1, 1) + timedelta(seconds=seconds)}'"))
+    return df
+
+
 def catalog(spark: SparkSession, folder: str) -> Catalog:
     """Lazy tables over folder/<name>.parquet."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
-    def events() -> DataFrame:
-        return read("events").withColumn("ts", epoch("ts")).withColumn("env_id", F.when(F.col("event_id") % 2 == 0, "prod").otherwise("dev"))
+    def events(earliest: int = 0, latest: int = 0) -> DataFrame:
+        return between(read("events"), "ts", earliest, latest).withColumn("ts", epoch("ts")).withColumn("env_id", F.when(F.col("event_id") % 2 == 0, "prod").otherwise("dev"))
+
+    def named(earliest: int, latest: int) -> DataFrame:
+        return events(earliest, latest).select("ts", F.col("user_id").cast("string").alias("host"), F.col("event_type").alias("name"), F.col("props").alias("labels"), "value", "user_id")
 
-    def named() -> DataFrame:
-        return events().select("ts", F.col("user_id").cast("string").alias("host"), F.col("event_type").alias("name"), F.col("props").alias("labels"), "value")
+    def metric(earliest: int, latest: int) -> DataFrame:
+        return named(max(earliest, ROLLUP_BEFORE), latest)
 
-    def rollup() -> DataFrame:
-        hour = F.expr("ts div 3600 * 3600").alias("ts")
-        return named().where(F.col("ts") < ROLLUP_BEFORE).groupBy(hour, "host", "name", "labels").agg(F.avg("value").alias("avg"))
+    def rollup(earliest: int, latest: int) -> DataFrame:
+        hour = F.expr("ts div 3600 * 3600").alias("ts")  # an hour that begins in time is whole
+        until = min(latest + 3599, ROLLUP_BEFORE - 1) if latest > 0 else ROLLUP_BEFORE - 1
+        return named(earliest, until).groupBy(hour, "host", "name", "labels", "user_id").agg(F.avg("value").alias("avg"))
 
     def lookups() -> DataFrame:
         def rows(name: str, key: str) -> DataFrame:
@@ -40,8 +58,9 @@ def catalog(spark: SparkSession, folder: str) -> Catalog:
 
     timed = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
     plain = ("documents", "pages", "conversations", "orders", "lineitem", "customer", "part", "supplier", "nation", "region", "labels")
-    tables = {n: (lambda n=n: read(n).withColumn("ts", epoch(timed[n])) if n in timed else read(n)) for n in plain}
-    return Catalog(tables | {"events": events, "metric": lambda: named().where(F.col("ts") >= ROLLUP_BEFORE), "metric_rollup": rollup, "lookup_kv": lookups})
+    tables = {n: (lambda n=n: read(n)) for n in plain if n not in timed}
+    tables |= {n: Bounded(lambda a, b, n=n, c=c: between(read(n), c, a, b).withColumn("ts", epoch(c))) for n, c in timed.items()}
+    return Catalog(tables | {"events": Bounded(events), "metric": Bounded(metric), "metric_rollup": Bounded(rollup), "lookup_kv": lookups})
 
 
 def schema() -> Schema:

@@ -1,15 +1,21 @@
 """Parsing, refusals and semantics on hand-made frames."""
 
+import random
+import threading
+import time
+
 import pytest
 
+import __spark_entry__
 from sluice.engine import COMPLETIONS, Engine
 from sluice.errors import ConfigError, QueryError
 from sluice.plans.limits import Limits
 from sluice.plans.nodes import Compare, Free, Member
 from sluice.plans.parser import automatic_span, filter_terms
+from sluice.plans.queries import run
 from sluice.sources.catalog import Catalog
 from sluice.sources.schema import Knowledge, engagements, events
-from sluice.sources.sinks import EVENT, METRIC, conform
+from sluice.sources.sinks import EVENT, METRIC, Store, conform
 
 ROWS = [
     # ts, host, category, severity, src_ip, message, fields, id, env
@@ -259,3 +265,109 @@ def test_pages(engine):
     assert [r["id"] for r in engine.page("search", 9, (first[-1]["ts"], first[-1]["id"])).collect()] == [2, 1, 4]
     with pytest.raises(QueryError, match="ts and id"):
         engine.page("search | stats count", 2)
+
+
+@pytest.mark.parametrize("by", ["", " by host"])
+@pytest.mark.parametrize("measure", ["count", "sum(severity)", "avg(severity)", "min(dport)", "max(severity)", "dc(host)", "values(category)", "list(category)"])
+def test_eventstats_of_limited_rows(engine, measure, by):
+    """The rows that a limit picks are read once, so that each row finds its group."""
+    name = measure.split("(")[0]
+    got = rows(engine, f"search | head 4 | eventstats {measure}{by} | table ts,{name}")
+    assert len(got) == 4
+    want = rows(engine, f"search | eventstats {measure}{by} | table ts,{name}")
+    assert [type(r[1]) for r in got if r[1] is not None] == [type(want[0][1] or r[1]) for r in got if r[1] is not None]
+    limits = lambda text: engine.query(text)._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit")
+    assert limits(f"search | head 4 | eventstats {measure}{by}") == 1
+    assert limits(f"search | append [search | head 2] | eventstats {measure}{by}") == 1
+
+
+def test_names_that_stages_use_are_free(engine):
+    for name in ("_made", "_k0", "_l0", "_row", "_rise", "_key", "_lk", "_o_team", "made", "before"):
+        assert rows(engine, f"search host=a | eval {name} = 1 | eventstats count by {name} | table {name},count") == [(1, 2), (1, 2)]
+        assert rows(engine, f"search host=a | eval {name} = 1 | dedup {name} | join {name} [search | eval {name} = 1 | stats list(host) by {name}] | lookup owners host OUTPUT team | table {name},list,team") == [(1, "a,a,b,b", "red")]
+    assert rows(engine, "metric up job=api by job | eval _rise = 7 | rate | table ts,_rise,rate")[1] == (1, 7, 3.0)
+
+
+def test_rate_of_equal_times(engine, spark):
+    m = [(1, "h", "up", "{}", float(v)) for v in (9, 5, 7)] + [(2, "h", "up", "{}", 12.0)]
+    for seed in range(3):
+        random.Random(seed).shuffle(m)
+        own = Engine(engine.catalog.with_tables(metric=spark.createDataFrame(m, METRIC).repartition(3), metric_rollup=engine.catalog.table("metric_rollup").limit(0)), events())
+        assert rows(own, "metric up | rate | table ts,value,rate") == [(1, 5.0, None), (1, 7.0, None), (1, 9.0, None), (2, 12.0, 3.0)]
+
+
+@pytest.mark.parametrize("function", ["values", "list"])
+def test_lists_are_cut(engine, spark, function):
+    rnd = random.Random(4)
+    data = [(g, rnd.choice(["", "x" * rnd.randint(0, 900), f"v{rnd.randint(0, 3000)}", None])) for g in ("a", "b", None) for _ in range(rnd.choice((20, 3000)))] + [("none", None), ("long", "z" * 9000), ("long", "z" * 9000)]
+    own = Engine(engine.catalog.with_tables(event=conform(spark.createDataFrame(data, "host string, message string"), EVENT)), events())
+    want = {}
+    for g, v in data:
+        want.setdefault(g, [])
+        want[g] += [] if v is None else [v]
+    cut = {g: ",".join(sorted(set(v) if function == "values" else v))[:4096] if v else None for g, v in want.items()}
+    assert dict(rows(own, f"search | stats {function}(message) by host | table host,{function}")) == cut
+    every = [v for vs in want.values() for v in vs]
+    assert rows(own, f"search | stats {function}(message)") == [(",".join(sorted(set(every) if function == "values" else every))[:4096],)]
+
+
+def test_time_bounds_reach_files(spark, engine, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("time_window", "metric_window"):
+        text = plan(run(name, spark, "/root/testdata/sf0.001"))
+        assert "GreaterThanOrEqual(ts,2024-01-1" in text and "LessThan(ts,20" in text
+    store = Store(str(tmp_path))
+    store.insert_events(engine.catalog.table("event").withColumn("ts", engine.catalog.table("event").ts * 1000))
+    own = Engine(store.catalog(spark), events())
+    found = own.query("search", 90_000, 320_000)
+    assert "PartitionFilters: [isnotnull(day" in plan(found) and [r["ts"] for r in found.orderBy("ts").collect()] == [100_000, 200_000, 300_000]
+    assert own.query("metric up").columns and Engine(engine.catalog, events()).query("search", 100, 300).count() == 3
+
+
+def test_masks_must_be_known(engine):
+    with pytest.raises(QueryError, match="known"):
+        engine.masked(None)
+    assert engine.masked({}).query("host=a").count() == 2
+    assert {r["host"] for r in engine.masked({"host": "mask"}).masked({}).query("search").collect()} == {"***", None}
+    assert ids(engine, "search", schema=engine.within("dev").schema) == [3]
+
+
+def test_budget_and_cancel(spark, engine):
+    slow = Engine(engine.catalog.with_tables(event=conform(spark.range(60_000_000).selectExpr("id as ts", "sha2(sha2(string(id), 512), 512) as message"), EVENT)), events())
+    began = time.monotonic()
+    with pytest.raises(QueryError, match="budget"):
+        slow.collect("search zzzz | stats dc(message)", budget_ms=1500)
+    done = threading.Event()
+
+    def cancel():
+        while not done.wait(0.5):
+            Engine.cancel(spark, "mine")
+
+    threading.Thread(target=cancel).start()
+    with pytest.raises(QueryError, match="cancelled"):
+        slow.collect("search zzzz | stats dc(message)", tag="mine")
+    done.set()
+    assert time.monotonic() - began < 60
+    assert engine.collect("search", budget_ms=60_000, tag="mine").stats["rows"] == 5
+
+
+def test_entry_without_a_library_of_the_training_data_queries(monkeypatch):
+    """What only those queries need may be missing; a module of this package may not."""
+    real = __import__
+
+    def without(missing):
+        def found(name, *a, **k):
+            if name == "sluice.llm" or name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *a, **k)
+
+        return found
+
+    monkeypatch.setattr("builtins.__import__", without("public_tokenizers"))
+    with pytest.warns(UserWarning, match="public_tokenizers"):
+        assert "flt_eq" in __spark_entry__.queries()
+    monkeypatch.setattr("builtins.__import__", without("sluice.llm"))
+    assert "flt_eq" in __spark_entry__.queries()
+    monkeypatch.setattr("builtins.__import__", without("sluice.llm.links"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()

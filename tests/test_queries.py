@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sluice.plans.queries import QUERIES, run
+from sluice.plans.queries import oracle_sql, run
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,10 +24,10 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equals_sql(spark, sql, name):
     df = run(name, spark, str(DATA))
-    want = sql.execute(QUERIES[name][1])
+    want = sql.execute(oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
