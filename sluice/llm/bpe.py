@@ -8,8 +8,10 @@ encodings of all prefixes form a tree, and a later token can only start where
 some longer token may still begin. Tokens on the way from the root to the
 deepest node that all those places have in common are certain and are emitted.
 What remains - the token emitted last and the bytes since - is the state; states
-and transitions are made when first met and kept (Berglund and van der Merwe
-show that the lookahead is bounded).
+and transitions are made when first met and kept (Berglund and van der Merwe show
+that the lookahead is bounded). Beyond a bound of states further transitions are
+taken without being kept; when many have been, all kept ones go, so that those
+that are kept follow the data.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bounds of what a worker keeps; they change no result. Beyond MAX_STATES a
-#: pre-token that leaves the known states is finished without keeping more; of
-#: pre-tokens the last two lots of MAX_WORDS are kept.
+#: Bounds of what a worker keeps; they change no result. The transducer starts anew
+#: after RENEW transitions for each of MAX_STATES that were not kept; of pre-tokens the
+#: last two lots of MAX_WORDS are kept. SOON: bytes after which a walk without states
+#: looks which tokens are certain.
+RENEW, SOON = 50, 64
 MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 150_000, 200_000, 48
 
 
@@ -131,7 +135,15 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.states: dict[tuple[bytes, bytes], State] = {}
-        self.start = self.states[b"", b""] = State(b"", b"", (), ())
+        self.clear()
+
+    def clear(self) -> None:
+        """Lets all states go."""
+        for state in self.states.values():
+            state.step = {}
+        self.start = State(b"", b"", (), ())
+        self.states = {(b"", b""): self.start}
+        self.walked = 0
 
     @staticmethod
     def _path(last: tuple[bytes, ...], k: int) -> list[int]:
@@ -169,53 +181,66 @@ class Transducer:
         sent = tuple([ranks[last[k - 1]] for k in reversed(path) if 0 < k <= cut])
         at = last[cut - 1] if cut else state.before, data[cut:]
         if (after := self.states.get(at)) is None:
-            after = State(*at, last[cut:], tuple(k - cut for k in live))
-            if len(self.states) < MAX_STATES:
-                self.states[at] = after
-        if len(self.states) < MAX_STATES:
-            state.step[byte] = after, sent
+            after = self.states[at] = State(*at, last[cut:], tuple([k - cut for k in live]))
+        state.step[byte] = after, sent
         return after, sent
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
-        state, ids, full = self.start, [], len(self.states) >= MAX_STATES
+        if self.walked > RENEW * MAX_STATES:
+            self.clear()
+        state, ids = self.start, []
         for i, byte in enumerate(data):
-            if byte in state.step:
-                state, sent = state.step[byte]
-            elif full:
-                return ids + self._finish(state, data[i:])
-            else:
-                state, sent = self._advance(state, byte)
+            if (known := state.step.get(byte)) is None:
+                if len(self.states) >= MAX_STATES:
+                    return ids + self._walk(state, data[i:])
+                known = self._advance(state, byte)
+            state, sent = known
             if sent:
                 ids += sent
         if state.rest is None:
             path = self._path(state.last, len(state.pending))
-            state.rest = tuple(self.merges.ranks[state.last[k - 1]] for k in reversed(path) if k)
+            state.rest = tuple([self.merges.ranks[state.last[k - 1]] for k in reversed(path) if k])
         ids += state.rest
         return ids
 
-    def _finish(self, state: State, rest: bytes) -> list[int]:
-        """The ids of what is pending and of the rest, by the same steps without making states."""
-        m, data, last, live, before = self.merges, state.pending + rest, list(state.last), list(state.live), state.before
-        ranks, beginnings, fits = m.ranks, m.beginnings, m.fits
-        for n in range(len(last) + 1, len(data) + 1):
-            live.append(n - 1)
-            token, still = None, []
-            for k in live:
-                end = data[k:n]
-                if end in beginnings:
-                    still.append(k)
-                if token is None and end in ranks:
-                    left = last[k - 1] if k else before
-                    if (fit := fits.get((left, end))) is None:
-                        fit = m.fit(left, end)
-                    if fit:
-                        token = end
-            if token is None:
-                raise ValueError(f"the vocabulary has no token for byte {data[n - 1]}")
-            last.append(token)
-            live = still
-        return [ranks[last[k - 1]] for k in reversed(self._path(last, len(data))) if k]
+    def _walk(self, state: State, rest: bytes) -> list[int]:
+        """The ids of what is pending and of the rest, by transitions that are not kept.
+
+        Every SOON bytes the certain tokens are emitted and only what is pending stays.
+        """
+        m, data, last, live, before = self.merges, state.pending, list(state.last), list(state.live), state.before
+        ranks, beginnings, fits, ids = m.ranks, m.beginnings, m.fits, []
+        self.walked += len(rest)
+        for first in range(0, len(rest), SOON):
+            data += rest[first : first + SOON]
+            for n in range(len(last) + 1, len(data) + 1):
+                live.append(n - 1)
+                token, still = None, []
+                for k in live:
+                    end = data[k:n]
+                    if end in beginnings:
+                        still.append(k)
+                    if token is None and end in ranks:
+                        left = last[k - 1] if k else before
+                        if (fit := fits.get((left, end))) is None:
+                            fit = m.fit(left, end)
+                        if fit:
+                            token = end
+                if token is None:
+                    raise ValueError(f"the vocabulary has no token for byte {data[n - 1]}")
+                last.append(token)
+                live = still
+            path = self._path(last, len(data))
+            if first + SOON < len(rest):
+                cut, on = len(data), set(path)
+                for k in live:
+                    while k not in on:
+                        k -= len(last[k - 1])
+                    cut = min(cut, k)
+                ids += [ranks[last[k - 1]] for k in reversed(path) if 0 < k <= cut]
+                before, data, last, live = last[cut - 1] if cut else before, data[cut:], last[cut:], [k - cut for k in live]
+        return ids + [ranks[last[k - 1]] for k in reversed(path) if k]
 
 
 class Utf8Stream:
