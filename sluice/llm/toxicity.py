@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.store import materialize
 from sluice.llm.trees import Boosted, Isotonic
 
 #: Labelled rows learned from, at most (by a hash of the key); entries of the lexicon, at most; the score from which a text counts as toxic.
@@ -24,7 +25,8 @@ SAMPLE, LEXICON, THRESHOLD = 30_000, 2_000, 0.3
 STEMS = (6, 5, 4)
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split())
 _WORD = re.compile(r"\w+")
-_MASKED = re.compile(r"\w*[@$*!0-9|+.\-_]+\w[\w@$*!|+.\-]*")
+#: Only from where a run of such characters begins, so that a long run is read once.
+_MASKED = re.compile(r"(?<![\w@$*!|+.\-])\w*[@$*!0-9|+.\-_]+\w[\w@$*!|+.\-]*")
 _PLAIN = str.maketrans("@$!|0134578+", "asiioieastbt", "*.-_")
 _LOUD = re.compile(r"[!?]{2,}")
 _SHOUT = re.compile(r"\b[A-ZÀ-Þ]{2,}\b")
@@ -68,8 +70,9 @@ def features(texts: list[str], lexicon: dict[str, float]) -> np.ndarray:
         hits = sorted({*full, *stems})
         near = 0
         if hits and you:
-            at = np.array(you)
-            near = sum(int(np.abs(at - i).min() <= 5) for i in hits)
+            at, of = np.array([-9, *you, n + 9]), np.array(hits)
+            after = np.searchsorted(at, of)
+            near = int((np.minimum(at[after] - of, of - at[after - 1]) <= 5).sum())
         upper = sum(map(str.isupper, text)) if not text.islower() else 0
         marks = chars - sum(map(len, words)) - text.count(" ") - text.count("\n") if n else 0
         shout = _SHOUT.findall(text)
@@ -99,9 +102,9 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the learnable labelled rows, `sample` at most.
 
-    Rows without a label, or whose key repeats with another label, are left out.
-    Without both kinds of label the model gives every text their share (0 if
-    there is none).
+    Rows without a label, or whose key repeats with another label, are left out; of
+    documents with equal keys the one with the least text counts. Without both kinds
+    of label the model gives every text their share (0 if there is none).
     """
     known = labels.where(F.col(label).isNotNull() & learnable(F.col(key))).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     total = known.count()
@@ -110,8 +113,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = F.xxhash64(F.lit("sample"), F.col(key))
     picked = known.withColumn("o", order).where(F.pmod("o", F.lit(1_000_000)) < 1_000_000 * sample / total).orderBy("o").limit(sample)
     picked = picked.select(F.col(key).alias("l_id"), F.col("y").cast("int").alias("y"), F.pmod("o", F.lit(97)).cast("int").alias("part"))
-    # The sample is bounded, so it can be broadcast.
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("body")).join(F.broadcast(picked), F.col("id") == F.col("l_id")).select("y", "part", F.coalesce("body", F.lit("")).alias("body"))
+    # The sample is bounded, so it can be broadcast. Its texts are read and written once.
+    labelled = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).join(F.broadcast(picked), F.col("id") == F.col("l_id"))
+    rows = materialize(labelled.groupBy("l_id", "y", "part").agg(F.min("body").alias("body")).select("y", "part", "body"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +128,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["term", "bad", "good"])
 
     counted = rows.mapInArrow(count, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = materialize(counted.where("bad >= 3 or term = ''"), "terms")
     ends = counted.where("term = ''").collect()
     bad, good = (ends[0]["bad"], ends[0]["good"]) if ends else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    top = counted.where("term != '' and bad >= 3").withColumn("odds", odds).where("odds >= 2").orderBy((F.col("bad") * F.col("odds")).desc(), "term").limit(LEXICON).collect()
+    top = counted.where("term != ''").withColumn("odds", odds).where("odds >= 2").orderBy((F.col("bad") * F.col("odds")).desc(), "term").limit(LEXICON).collect()
     lexicon = {r["term"]: r["odds"] for r in top}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
