@@ -69,10 +69,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+#: The chat's text is that of messages without calls; tests hold the others.
 OP7_SQL = """
-SELECT conv_id, count(*) AS n_turns, 0::BIGINT AS n_calls, 0::BIGINT AS n_results, 0::BIGINT AS n_linked, '' AS errors,
-  sha256('{"messages":[' || string_agg('{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}', ',' ORDER BY turn, role) || ']}') AS chat_sha256
-FROM conversations GROUP BY conv_id
+WITH calls AS (
+  SELECT conv_id, string_split(unnest(string_split(text, '<tool_call>')[2:]), '</tool_call>')[1] AS raw FROM conversations WHERE role = 'assistant' AND contains(text, '<tool_call>')
+), asked AS (
+  SELECT conv_id, json_valid(raw) AS readable, CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.id') END AS id FROM calls
+), results AS (
+  SELECT conv_id, CASE WHEN json_valid(text) THEN json_extract_string(text, '$.tool_call_id') END AS id FROM conversations WHERE role = 'tool'
+), linked AS (
+  SELECT conv_id, id FROM results WHERE EXISTS (SELECT 1 FROM asked WHERE asked.conv_id IS NOT DISTINCT FROM results.conv_id AND asked.id = results.id)
+), found AS (
+  SELECT conv_id, coalesce(id, '?') || ':unreadable' AS e FROM asked WHERE NOT readable
+  UNION ALL SELECT conv_id, 'duplicate:' || id FROM asked WHERE id IS NOT NULL GROUP BY conv_id, id HAVING count(*) > 1
+  UNION ALL SELECT conv_id, 'unlinked:' || coalesce(id, '?') FROM results WHERE NOT EXISTS (SELECT 1 FROM asked WHERE asked.conv_id IS NOT DISTINCT FROM results.conv_id AND asked.id = results.id)
+  UNION ALL SELECT DISTINCT conv_id, 'unanswered:' || id FROM asked WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM results WHERE asked.conv_id IS NOT DISTINCT FROM results.conv_id AND asked.id = results.id)
+), counts AS (
+  SELECT conv_id, sum(calls) AS n_calls, sum(results) AS n_results, sum(linked) AS n_linked FROM (
+    SELECT conv_id, 1 AS calls, 0 AS results, 0 AS linked FROM asked UNION ALL SELECT conv_id, 0, 1, 0 FROM results UNION ALL SELECT conv_id, 0, 0, 1 FROM linked
+  ) GROUP BY conv_id
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256('{"messages":[' || string_agg('{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}', ',' ORDER BY turn, role) || ']}') AS chat_sha256
+  FROM conversations GROUP BY conv_id
+)
+SELECT chats.conv_id, n_turns, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  coalesce(errors, '') AS errors, chat_sha256
+FROM chats LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM chats.conv_id
+LEFT JOIN (SELECT conv_id, string_agg(e, ',' ORDER BY e) AS errors FROM found GROUP BY conv_id) f ON f.conv_id IS NOT DISTINCT FROM chats.conv_id
 """
 
 OP8_SQL = """

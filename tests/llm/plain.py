@@ -129,6 +129,41 @@ def base_scores(docs):
     return [(i, fold(i) == 2, len(w), sum(count[x] > 0 for x in w), total, sum(log10((count[x] + 1) / (total + kinds + 1)) for x in w)) for (i, _), w in zip(docs, tokens, strict=True)]
 
 
+def interpolated(docs, contexts, rounds=60):
+    """Deleted interpolation with the estimates as they are: log10 probabilities by key."""
+    fold = lambda i: 2 if i is None else zlib.crc32(str(i).encode()) % 7
+    tokens = {i: ["<", *TOKEN.findall((t or "").translate(LOW)), ">"] for i, t in docs}
+
+    def counts(left_out):
+        train = [w for i, w in tokens.items() if fold(i) not in left_out]
+        pairs, context, word = (Counter(x for w in train for x in found(w)) for found in (lambda w: zip(w, w[1:]), lambda w: w[:-1], lambda w: w[1:]))
+        n, v = sum(word.values()), len(word)
+
+        def estimates(a, b):
+            bucket = min(max(context[a], 0).bit_length(), contexts - 1)
+            return bucket, (pairs[a, b] / max(context[a], 1), word[b] / max(n, 1), 1 / (v + 1))
+
+        return estimates
+
+    kept = counts((2, 3))
+    seen = Counter(kept(a, b) for i, w in tokens.items() if fold(i) == 3 for a, b in zip(w, w[1:]))
+    weights = [[1 / 3] * 3 for _ in range(contexts)]
+    weights[0] = [0, 0.5, 0.5]
+    for _ in range(rounds):
+        sums = [[0.0] * 3 for _ in range(contexts)]
+        for (bucket, p), n in seen.items():
+            shares = [w * x for w, x in zip(weights[bucket], p)]
+            for k in range(3):
+                sums[bucket][k] += n * shares[k] / sum(shares)
+        total = sum(map(sum, sums[1:]))
+        mean = [(sum(s[k] for s in sums[1:]) + 1) / (total + 3) for k in range(3)]
+        weights = [[(s[k] + mean[k]) / (sum(s) + 1) for k in range(3)] for s in sums]
+        rest = weights[0][1] + weights[0][2]
+        weights[0] = [0, weights[0][1] / rest, weights[0][2] / rest]
+    every = counts((2,))
+    return [(i, sum(log10(sum(w * x for w, x in zip(weights[every(a, b)[0]], every(a, b)[1]))) for a, b in zip(w, w[1:]))) for i, w in tokens.items()]
+
+
 def unigram(word: bytes, scores):
     """Tokens and score of the best cut, by trying all cuts from the left."""
     best = [(0.0, 0)]

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -69,36 +71,56 @@ def test_token_counts(spark, docs):
     for i, t in docs:
         found = [plain.unigram(w.encode(), scores) for w in split(t or "") if len(w) < 500]
         if len(found) == len(split(t or "")):
-            want.append((i, len(found), sum(n for n, _ in found)))
+            want.append((i, len(found), sum(n for n, _ in found), round(sum(s for _, s in found), 6)))
     assert len(got) == len(docs)
-    assert set(want) <= {r[:3] for r in got}
+    assert set(want) <= {(*r[:3], round(r[3], 6) + 0.0) for r in got}
 
 
 def test_near_duplicates(spark, docs):
+    if docs is not EDGES and docs:
+        docs = [*docs, *[(i, t) for i, t in docs[:40]], *[(i, "another text of this key " + t) for i, t in docs[40:45]], (None, docs[50][1]), (None, PROSE)]
     got = neardup.near_duplicates(frame(spark, docs)).collect()
-    assert len(got) == len(docs)
-    keyed = [(i, t) for i, t in docs if i is not None]
-    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == plain.classes(keyed)
-    same = {}
-    for r in got:
-        same.setdefault(tuple(plain.words(dict(docs)[r["doc_id"]])), set()).add(r["copy_of"])
-    assert all(len(s) == 1 for s in same.values())
-    kept = neardup.dedup(frame(spark, docs)).collect()
-    assert {r["doc_id"] for r in kept} == {*plain.classes(keyed).values()} | {None for i, _ in docs if i is None}
+    want = plain.weighted_classes(docs, neardup.LIFT, neardup.DAMP)
+    copies = {}
+    for i, t in docs:
+        of = repr(sorted(plain.Counter(zip(*(plain.words(t)[k:] for k in range(5)))).items()) or plain.words(t))
+        copies[of] = min(copies.get(of, (True, 0)), (i is None, i or 0))
+    firsts = [copies[repr(sorted(plain.Counter(zip(*(plain.words(t)[k:] for k in range(5)))).items()) or plain.words(t))] for _, t in docs]
+    assert by_key((r["doc_id"], r["class_id"], r["copy_of"]) for r in got) == by_key((i, c, None if f[0] else f[1]) for (i, _), (c, _), f in zip(docs, want, firsts, strict=True))
+    assert len({r["class_node"] for r in got}) == len({n for _, n in want})
+
+
+def test_dedup_keeps_one_row_of_each_class(spark):
+    docs = [*EDGES, (20, "two texts of one key, the first of them"), (20, "and the other one, which is like nothing else"), (21, "and the other one, which is like nothing else"), (None, "another null key")]
+    kept = neardup.dedup(frame(spark, docs))
+    assert kept.columns == frame(spark, docs).columns
+    least = {}
+    for (i, _), (_, n) in zip(docs, plain.weighted_classes(docs, neardup.LIFT, neardup.DAMP), strict=True):
+        least[n] = min(least.get(n, (True, 0)), (i is None, i or 0))
+    assert by_key(r["doc_id"] for r in kept.collect()) == by_key(None if nil else i for nil, i in least.values())
 
 
 def test_near_duplicates_of_a_large_group(spark):
+    """Against all pairs: variants of one text, some alike and some not, texts with a common
+    passage, and texts repeated within themselves."""
     rnd = random.Random(3)
-    base = [f"w{rnd.randint(0, 5000)}" for _ in range(300)]
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
     docs = []
-    for i in range(400):
+    for i in range(300):
         w = list(base)
-        w[rnd.randrange(300)] = f"edit{i}"
+        for _ in range(rnd.choice((1, 2, 3, 5))):
+            w[rnd.randrange(200)] = f"edit{rnd.randint(0, 10**9)}"
         docs.append((i, " ".join(w)))
-    docs += [(1000 + i, " ".join(f"v{rnd.randint(0, 5000)}" for _ in range(50)) + " a common passage that all of these documents have at their very end") for i in range(300)]
+    docs += [(1000 + i, " ".join(f"v{rnd.randint(0, 5000)}" for _ in range(50)) + " a common passage that all of these documents have at their very end") for i in range(200)]
+    for i, times in enumerate((2, 3, 10) * 10):
+        own = " ".join(f"u{rnd.randint(0, 10**9)}" for _ in range(200))
+        docs += [(2000 + 2 * i, own), (2001 + 2 * i, " ".join([own] * times))]
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, docs)).collect()}
-    assert {got[i] for i in range(400)} == {0}
-    assert all(got[1000 + i] == 1000 + i for i in range(300))
+    want = {i: c for (i, _), (c, _) in zip(docs, plain.weighted_classes(docs, neardup.LIFT, neardup.DAMP), strict=True)}
+    together = lambda found: {(i, j) for i, a in found.items() for j, b in found.items() if i < j and a == b}
+    pairs, all_pairs = together(got), together(want)
+    assert pairs <= all_pairs and len(pairs) >= 0.99 * len(all_pairs) > 20_000
+    assert all(got[2001 + 2 * i] == 2000 + 2 * i for i in range(30))
 
 
 def test_weighted_samples_estimate_weighted_jaccard():
@@ -126,10 +148,12 @@ def test_bpe(spark, docs):
 def test_bpe_states_bound_changes_nothing(monkeypatch):
     texts = [t for _, t in documents()[:20]]
     whole = bpe.Codec(PATH, PATTERN)
-    for name, value in (("MAX_STATES", 50), ("MAX_WORDS", 5), ("MAX_FITS", 5)):
+    for name, value in (("MAX_STATES", 50), ("MAX_WORDS", 5), ("MAX_FITS", 5), ("RENEW", 3)):
         monkeypatch.setattr(bpe, name, value)
     bounded = bpe.Codec(PATH, PATTERN)
+    texts += ["ab" * 3000 + "a" * 3000, "中文" * 2000, "q" * 999]
     assert [whole.encode(t) for t in texts] == [bounded.encode(t) for t in texts]
+    assert len(bounded.transducer.states) <= 50
 
 
 def test_utf8_stream():
@@ -175,6 +199,20 @@ def test_toxicity(spark, docs):
     assert all(r["score"] == 0 for r in toxicity.scores(frame(spark, docs), none).collect())
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "!" * 1_000_000, "1" * 500_000 + "!" * 500_000, "bad you " * 100_000], ids=["letters", "marks", "digits", "hits"])
+def test_features_of_long_texts_are_linear(text):
+    began = time.process_time()
+    (row,) = toxicity.features([text], {"bad": 2.0})
+    assert time.process_time() - began < 4 and np.isfinite(row).all()
+
+
+def test_masked_words_are_those_of_the_plain_pattern():
+    plainly, rnd = re.compile(r"\w*[@$*!0-9|+.\-_]+\w[\w@$*!|+.\-]*"), random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rnd.choice("ab1_!@-. é9*|") for _ in range(rnd.randint(1, 14)))
+        assert plainly.findall(text) == toxicity._MASKED.findall(text)
+
+
 def test_trees_and_steps():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
@@ -206,9 +244,31 @@ def test_chat(spark):
     assert chat.format_chats(messages.limit(0)).count() == 0
 
 
+def test_random_chats(spark):
+    """Ties, early and repeated results, repeated identifiers, declared tools: against plain sorting by Kahn's method."""
+    rnd, rows = random.Random(11), []
+    schema = {"required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "string"}}}
+    for conv in [None, *range(99)]:
+        if rnd.random() < 0.6:
+            rows.append((conv, 0, "system", "You have <tools>" + json.dumps([{"name": "add", "parameters": schema}, {"name": "say"}]) + "</tools> now"))
+        for _ in range(rnd.randint(0, 9)):
+            i, turn = f"c{rnd.randint(0, 5)}", rnd.randint(0, 4)
+            call = lambda: "<tool_call>" + rnd.choice([json.dumps({"id": rnd.choice([i, f"c{rnd.randint(0, 5)}"]), "name": rnd.choice(["add", "say", "other"]), "arguments": rnd.choice([{"a": 1}, {"b": "x"}, {"a": "1", "b": 2}, {}])}), "{junk"]) + "</tool_call>"
+            rows.append(rnd.choice([
+                (conv, turn, "assistant", "".join(call() for _ in range(rnd.randint(0, 3))) + f"say {rnd.randint(0, 2)}"), (conv, turn, "tool", json.dumps({"tool_call_id": i, "content": f"r{rnd.randint(0, 3)}"})),
+                (conv, turn, "user", "hi"), (conv, turn, None, None),
+            ]))
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    want = plain.chats(rows)
+    assert {c: (r["n_turns"], r["n_calls"], r["n_results"], r["n_linked"], r["errors"], json.loads(r["chat"])["messages"]) for c, r in got.items()} == want
+    errors = " ".join(e for w in want.values() for e in w[4])
+    assert sum(w[3] for w in want.values()) > 20 and all(e in errors for e in ("unreadable", "unknown_tool", "missing:a", "type:a", "duplicate:", "unlinked:", "unanswered:"))
+    assert all(r["chat"] == json.dumps(json.loads(r["chat"]), sort_keys=True, separators=(",", ":")) for r in got.values())
+
+
 def test_line_dedup(spark, docs):
     shared = "A line that is long enough to be counted, %d times"
-    more = docs + [(5000 + i, "\n".join([shared % 1, f"own {i}", "\t" + (shared % 1).upper() + " ", shared % 2 if i < 4 else "", "x" * 39])) for i in range(6)] + [(5007, shared % 3), (5007, shared % 3)]
+    more = docs + [(5000 + i, "\n".join([shared % 1, f"own {i}", "\t" + (shared % 1).upper() + " ", shared % 2 if i < 4 else "", "x" * 39])) for i in range(6)] + [(5007, shared % 3), (5007, shared % 3), (5003, f"another text\n{shared % 1}\nof a key"), (5005, f"{shared % 1}\nand one of the largest key")]
     got = lines.dedup_lines(frame(spark, more)).collect()
     assert by_key((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in got) == by_key(plain.kept_lines(more))
 
@@ -219,6 +279,8 @@ def test_lm_scores(spark, docs):
     assert by_key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == by_key((*w[:5], round(w[5], 6)) for w in want)
     assert all(r["score"] < 0 for r in got)
     if len(docs) > 100:
+        scores = plain.interpolated(docs, ngrams.CONTEXTS)
+        assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(dict(scores), rel=5e-3)
         held = [r for r in got if r["held_out"]]
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
@@ -234,6 +296,8 @@ def test_fingerprints(spark, docs):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
         want.append((k, len(t), plain.sha(t[: len(t) - len(t) // 3] + after[: len(t) // 3])))
     assert by_key((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == by_key(want)
+    keyed = [d for d in docs if d[0] is not None]
+    assert by_key((r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None) == by_key((i, c) for (i, _), c in zip(keyed, plain.classes(keyed), strict=True))
     texts, marks = dict(docs), {}
     for r in got:
         assert marks.setdefault(texts[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
@@ -245,7 +309,14 @@ def test_fingerprints(spark, docs):
     assert not errors or max(map(abs, errors)) < 0.25
 
 
-def test_fingerprint_classes(spark):
-    docs = [d for d in documents() if d[0] is not None]
-    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_pairs(frame(spark, docs)).collect()}
-    assert got == plain.classes(docs)
+@pytest.mark.parametrize("parts", [1, 3])
+def test_fingerprints_of_null_and_repeated_keys(spark, parts):
+    """Any number of ranges; null keys and one repeated key are split by their texts."""
+    docs = [(None, f"text {i} of no key") for i in range(30)] + [(7, f"text {i} of one key " * (i % 5)) for i in range(30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = fingerprint.fingerprints(frame(spark, docs)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert by_key((r["doc_id"], r["n_chars"]) for r in got) == by_key((i, len(t)) for i, t in docs)
