@@ -65,17 +65,18 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     from 0 without gaps.
 
     A shard may be far larger than a task should be, so rows are numbered within
-    groups of about rows_per_group (by a hash of the key), and a group's offset
-    is the sum of the counts of the shard's groups before it. Those counts need
-    the key column only.
+    groups of about rows_per_group (by a hash of key and text, so that the texts of a
+    repeated key are in many groups), and a group's offset is the sum of the counts of
+    the shard's groups before it.
 
-    Null keys count as 0. Repeated rows get slots of their own. An empty table
-    gives no rows. Other columns are not read.
+    Keys are cast to bigint, which is an error under ANSI for one that is no number.
+    Null keys count as 0. Repeated rows get slots of their own. An empty table gives
+    no rows. Other columns are not read.
     """
     source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("body"))
     groups = max(1, math.ceil(source.count() / (shards * rows_per_group)))
-    placed = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
-    keys = source.select(jump(F.col("id"), shards)["shard"].alias("g_shard"), placed(F.col("id")).alias("g_part"))
+    part = F.pmod(F.xxhash64("id", "body"), F.lit(groups)).cast("int")
+    keys = source.select(jump(F.col("id"), shards)["shard"].alias("g_shard"), part.alias("g_part"))
     before = Window.partitionBy("g_shard").orderBy("g_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keys.groupBy("g_shard", "g_part").count().select("g_shard", "g_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     body = F.coalesce(F.col("body"), F.lit(""))
@@ -84,7 +85,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
         (F.octet_length(body).cast("long") + 16).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         jump(F.col("id"), shards).alias("j"),
-        placed(F.col("id")).alias("part"),
+        part.alias("part"),
     ).select("id", "size", "text_crc32", F.col("j.shard").alias("shard"), F.col("j.grown").alias("grown_shard"), "part")
     order = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
     numbered = rows.withColumn("n", F.row_number().over(order))
