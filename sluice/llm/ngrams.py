@@ -23,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sluice.llm import vectors
 from sluice.llm.store import materialize, release
 
 U64 = np.uint64
 END, START = vectors.stream(31, 2)
-#: Context buckets: unseen, then by powers of two.
-CONTEXTS, STEPS, GRID = 24, 8, 96
+#: Context buckets: unseen, then by powers of two. Probabilities that the weights are
+#: learned from are rounded to a STEPS-th of a decade, GRID steps in all, so that what
+#: the driver gets is bounded; scores use them as they are.
+CONTEXTS, STEPS, GRID = 24, 32, 384
 
 
 def fold(key: Column) -> Column:
@@ -102,7 +105,10 @@ def _ask(shards: int):
 
 
 def _answer(parts: int):
-    """Rows of one shard and kind to (block, shard, kind, all, kept), and the shard's sums as block -1."""
+    """Rows of one shard and kind to (block, shard, kind, wide, all, kept), and the shard's sums as block -1.
+
+    Counts have 64 bits where wide, else 32, which all of the shard's fit into.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard, kind = key[0].as_py(), key[1].as_py()
@@ -115,11 +121,12 @@ def _answer(parts: int):
         every_all = np.bincount(places, count, len(every)).astype(np.int64)
         every_kept = np.bincount(places, kept, len(every)).astype(np.int64)
         ends = np.cumsum([0, *map(len, hashes)])
-        low = lambda v: np.minimum(v, 0x7FFFFFFF).astype(np.int32).tobytes() if kind else v.tobytes()
-        rows = [(b, shard, kind, low(every_all[places[i:j]]), low(every_kept[places[i:j]])) for b, i, j in zip(blocks, ends[:-1], ends[1:], strict=True)]
+        wide = kind == 0 or every_all.max() > 0x7FFFFFFF
+        low = lambda v: v.astype(np.int64 if wide else np.int32).tobytes()
+        rows = [(b, shard, kind, wide, low(every_all[places[i:j]]), low(every_kept[places[i:j]])) for b, i, j in zip(blocks, ends[:-1], ends[1:], strict=True)]
         sums = np.array([every_all.sum(), (every_all > 0).sum(), every_kept.sum(), (every_kept > 0).sum()], np.int64)
-        rows.append((-1, shard, kind, sums.tobytes(), b""))
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "shard", "kind", "all", "kept"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        rows.append((-1, shard, kind, True, sums.tobytes(), b""))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "shard", "kind", "wide", "all", "kept"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
@@ -140,9 +147,9 @@ class Block:
             self.words = np.unique(np.concatenate([self.words, *(f for f, _ in found)]))
             self.pairs = np.unique(np.concatenate([self.pairs, *(bigrams(f, s) for f, s in found)]))
         order = np.lexsort((answers["shard"].to_numpy(), answers["kind"].to_numpy()))
-        kinds, column = answers["kind"].to_numpy()[order], answers[counts]
-        got = lambda kind, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(column[int(i)].as_buffer(), dtype) for i, k in zip(order, kinds, strict=True) if k == kind)])
-        self.word, self.pair = got(0, np.int64), got(1, np.int32)
+        kinds, wide, column = answers["kind"].to_numpy()[order], answers["wide"].to_numpy()[order], answers[counts]
+        got = lambda kind: np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(column[int(i)].as_buffer(), np.int64 if w else np.int32) for i, k, w in zip(order, kinds, wide, strict=True) if k == kind)])
+        self.word, self.pair = got(0), got(1)
         if len(self.word) != len(self.words) or len(self.pair) != len(self.pairs):
             raise ValueError("a block's texts differ from those that were counted; write the input to a table first")
 
@@ -165,7 +172,7 @@ def bucket(context: np.ndarray) -> np.ndarray:
 def expectation_maximisation(cells: np.ndarray, unknown: float, rounds: int = 60) -> np.ndarray:
     """CONTEXTS x 3 weights (bigram, word, any) from rows (bucket, bigram step, word step, count).
 
-    Steps are logarithms to the base of 10 in eighths, GRID - 1 for a probability
+    Steps are logarithms to the base of 10 in STEPS-ths, GRID - 1 for a probability
     of 0. Buckets that were not met take the mean of all.
     """
     weights = np.full((CONTEXTS, 3), 1 / 3)
@@ -199,7 +206,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     docs is read once for counting and once for scoring and has to give the same
     partitions both times, as a table does; a difference is an error, not a wrong
     score. parts: blocks of an input partition, from its size if not given. An
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read. Keys can be of any type
+    that Arrow has; repeated ones keep their own texts.
     """
     spark = docs.sparkSession
     if parts is None:
@@ -208,7 +216,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, key, text, parts)
     asked = blocks.mapInArrow(_ask(shards), "shard int, block bigint, kind int, hashes binary, counts binary")
-    answers = materialize(asked.groupBy("shard", "kind").applyInArrow(_answer(parts), "block bigint, shard int, kind int, all binary, kept binary"), "answers")
+    answers = materialize(asked.groupBy("shard", "kind").applyInArrow(_answer(parts), "block bigint, shard int, kind int, wide boolean, all binary, kept binary"), "answers")
     del asked
     release(spark)
     sums = {0: np.zeros(4, np.int64), 1: np.zeros(4, np.int64)}
@@ -254,7 +262,6 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int
         columns = (left["id"], left["fold"].to_numpy() == 2, sizes, known, np.full(len(sizes), n), base, scored)
         return pa.table(dict(zip(names, columns, strict=True))).cast(target)
 
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    target = pa.schema([(key, id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    target = pa.schema([(key, to_arrow_type(docs.schema[key].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.drop("kept").groupBy("a_block")).applyInArrow(score, schema)
