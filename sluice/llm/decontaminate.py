@@ -29,7 +29,8 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
     A window is `window` words, or a whole item of fewer words. k is the words of
     a gram: `gram`, or the item's number of words where that is less. An item
-    without words has no window. item is a string, empty for null.
+    without words has no window. item is a string, empty for null, so that an item
+    without an id and one whose id is the empty text are one.
     """
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text).cast("string")).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
@@ -89,7 +90,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
 
     docs is read once and its texts are never shuffled: the windows, whose count
     is checked, are broadcast to the marks. Beyond BROADCAST_WINDOWS the marks
-    are joined by shuffle.
+    are joined by shuffle, each with its text's words.
     """
     windows = benchmark_windows(benchmark, item, item_text, window, gram)
     sizes = windows.groupBy(F.size("span").alias("n"), "k").count().collect()  # as many rows as there are window lengths: `window` at most

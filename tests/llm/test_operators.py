@@ -165,7 +165,7 @@ def test_utf8_stream():
     assert s.feed(b"\xe4\xb8") + s.close() == "�"
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     items = [(r[0], r[1]) for r in small("benchmark")] + [(900, "short"), (901, " ".join(PROSE.split()[20:50])), (902, None), (903, "..."), (None, " ".join(PROSE.split()[3:10])), (904, "12 X")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, ws int")
     got = decontaminate.contamination(frame(spark, docs), bench).collect()
@@ -174,6 +174,9 @@ def test_decontamination(spark, docs):
     assert kept.columns == frame(spark, docs).columns
     assert by_key((r["doc_id"], r["text"]) for r in kept.collect()) == by_key((i, t) for (i, t), c in zip(docs, plain.contamination(docs, items), strict=True) if not c[4])
     assert not [r for r in decontaminate.contamination(frame(spark, docs), bench.limit(0)).collect() if r["n_hit"]]
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)  # by shuffle
+    dealt = decontaminate.contamination(frame(spark, docs), bench).collect()
+    assert by_key((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in dealt) == by_key(plain.contamination(docs, items))
 
 
 def test_sharding(spark, docs):

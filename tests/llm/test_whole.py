@@ -45,7 +45,7 @@ def test_shortlist_has_all_that_are_alike():
     bags = []
     for _ in range(60):
         h = np.sort(rng.choice(60, rng.integers(45, 60), replace=False)).astype(np.uint64)
-        w = 1 + np.log(rng.integers(1, 4, len(h)))
+        w = 1 + neardup.DAMP * np.log(rng.integers(1, 4, len(h)))
         bags.append((h, w, float(w.sum())))
     found = {tuple(p) for p in neardup.shortlist(bags[:30], bags[30:], 0.8)}
     alike = {(i, j) for i in range(30) for j in range(30) if neardup.alike(bags[i], bags[30 + j], 0.8)}
