@@ -24,10 +24,9 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that repeat in others; n_chars follows the text."""
-    bitmaps = lines.keep_bitmaps(docs).select(F.col("doc_id").alias("b_id"), "dropped")
-    joined = docs.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("b_id")), "left")
-    kept = joined.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(lines.kept_text(F.col("text"), F.col("dropped"))))
-    counted = kept.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    dropped = F.col("`#dropped`")
+    kept = lines.with_bitmaps(docs, lines.keep_bitmaps(docs)).withColumn("text", F.when(dropped.isNull(), F.col("text")).otherwise(lines.kept_text(F.col("text"), dropped)))
+    counted = kept.withColumn("n_chars", F.when(dropped.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return counted.select(*docs.columns)
 
 
