@@ -28,7 +28,7 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
 RARE, LIFT, DAMP = 1000, 0.1, 0.05
 #: Shingles that a partition counts at a time; entries of the table of frequent shingles, at most.
-HELD, TABLE = 4_000_000, 1_000_000
+HELD, TABLE = 1_500_000, 1_000_000
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -105,23 +105,24 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kind is 0 for a shingle, 1 for the number of texts and 2 for that of all shingles.
     """
-    n, total, cut, seen, times, missed = 0, 0, 0, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, total, cut, seen, times, missed = 0, 0, 0, np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     for batch in batches:
         n += batch.num_rows
         for _, _, hashes, _ in bags(batch.column(0)):
             total += len(hashes)
             new, more = np.unique(hashes, return_counts=True)
-            both = np.concatenate([seen, new])
-            order = np.argsort(both, kind="stable")
-            both, sums, short = both[order], np.concatenate([times, more])[order], np.concatenate([missed, np.full(len(new), cut)])[order]
-            at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-            seen, times, missed = both[at], np.add.reduceat(sums, at) if len(at) else sums, short[at]
+            at = np.searchsorted(seen, new)
+            known = at < len(seen)
+            known[known] = seen[at[known]] == new[known]
+            times[at[known]] += more[known].astype(np.int32)
+            at, fresh = at[~known], ~known
+            seen, times, missed = np.insert(seen, at, new[fresh]), np.insert(times, at, more[fresh].astype(np.int32)), np.insert(missed, at, cut)
             if len(seen) > HELD:  # what is rare so far is let go; missed is what an entry can have lost before it came
                 cut = int(n / (4 * rarity(n, total)))
                 keep = times + missed > cut
                 seen, times, missed = seen[keep], times[keep], missed[keep]
     keep = (times + missed) * rarity(n, total) > n
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), [0, 0])), pa.array(np.append(times[keep], [n, total])), pa.array(np.append(np.zeros(keep.sum(), np.int32), np.array([1, 2], np.int32)))], ["hash", "df", "kind"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[keep].view(np.int64), [0, 0])), pa.array(np.append(times[keep].astype(np.int64), [n, total])), pa.array(np.append(np.zeros(keep.sum(), np.int32), np.array([1, 2], np.int32)))], ["hash", "df", "kind"])
 
 
 def idf(docs: DataFrame, text: str = "text") -> Idf:
