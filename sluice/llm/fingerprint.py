@@ -2,23 +2,27 @@
 
 A signature holds, for each of K universal hash permutations of 32-bit shingle
 hashes, the smallest value over a text's shingles; two signatures agree in a
-share of places that estimates the Jaccard similarity of the shingle sets.
+share of places that estimates the Jaccard similarity of the shingle sets. Bands of
+signatures are joined in Spark, and the Jaccard similarity of candidates is verified
+on the shingles themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import links, neardup, vectors
+from sluice.llm.store import Scratch, materialize, release
 
-HASHES, BANDS, WORDS, SIMILARITY = 128, 32, 5, 0.8
+#: 24 bands of 5 hashes: texts of a similarity of 0.8 share none in 0.007% of cases.
+HASHES, BANDS, ROWS, WORDS, SIMILARITY = 128, 24, 5, 5, 0.8
 _A = (vectors.stream(11, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (vectors.stream(12, HASHES) >> np.uint64(32)).astype(np.uint32)
 
@@ -62,48 +66,61 @@ def likeness(a: np.ndarray, a_some: np.ndarray, b: np.ndarray, b_some: np.ndarra
     return np.where(a_some & b_some, np.maximum(0.0, (agree - 1 / 256) / (1 - 1 / 256)), (a_some == b_some).astype(float))
 
 
-def _hex(values: np.ndarray) -> list[str]:
-    return [v.tobytes().hex() for v in values]
+def _bytes(values: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, body, tail in partitions sorted so that each row's next document follows it.
+    """id, h, body, tail in partitions sorted so that each row's next document follows it.
 
-    Next is the row with the next lower key (then by the text's hash; null keys
-    come last); the last row's next is the first. Rows are dealt by ranges of the
-    key; each range also gets the first rows of the next one, marked tail and
-    sorted last. The ranges come from quantiles of the key column alone.
+    Next is the row with the next lower key (then by h, the text's hash; null keys
+    come last); the last row's next is the first. Rows are dealt by ranges of key and
+    hash, so that a repeated or null key is no single range; each range also gets
+    the first rows of the next one, marked tail and sorted last.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    cuts = rows.select("id").stat.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    place = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep")
-    ranged = lambda df: place.transform(df.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))).withColumn("bucket", (len(splits) - 2 - F.col("bucket")).cast("int")).drop("at")
-    # One row for each range: its largest key. Ranges are as many as shuffle partitions.
-    tops = ranged(rows.select("id")).groupBy("bucket").agg(F.max("id").alias("top")).orderBy("bucket").collect()
-    tops = [(r["bucket"], r["top"]) for r in tops]
-    if not tops:
-        return rows.select("id", "body", F.lit(False).alias("tail"))
-    to = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]
-    sent = docs.sparkSession.createDataFrame(to, "top bigint, target int")
-    both = ranged(rows).join(F.broadcast(sent), F.col("id").eqNullSafe(F.col("top")), "left")
-    own = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail")))
-    tail = F.array(F.struct(F.col("target").alias("bucket"), F.lit(True).alias("tail")))
-    dealt = both.select("id", "body", F.explode(F.when(F.col("target").isNull(), own).otherwise(F.concat(own, tail))).alias("d")).select("id", "body", "d.tail", "d.bucket")
-    return dealt.repartitionById(len(splits) - 1, "bucket").sortWithinPartitions("tail", F.col("id").desc_nulls_last(), F.xxhash64("body"), "body").select("id", "body", "tail")
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+    order = [F.col("id").isNull().cast("int").alias("nil"), F.coalesce(F.bitwise_not("id"), F.lit(0).cast("bigint")).alias("down"), F.col("h")]
+    # One row for each range, its first: as many as there are shuffle partitions.
+    ranged = rows.select(*order).repartitionByRange(n, "nil", "down", "h")
+    bounds = sorted(tuple(r[0]) for r in ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("nil", "down", "h")).alias("low")).select("low").collect())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [*zip(*(batch.column(i).to_pylist() for i in (3, 4, 1)), strict=True)]
+            to = [bisect_right(bounds, x) - 1 for x in at]
+            tails = [i for i, (x, b) in enumerate(zip(at, to, strict=True)) if x == bounds[b]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(at)), pa.array(to, pa.int32())], [*batch.schema.names, "tail", "bucket"])
+            if tails:
+                ends = [(to[i] or len(bounds)) - 1 for i in tails]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(tails)).columns, pa.array([True] * len(tails)), pa.array(ends, pa.int32())], [*batch.schema.names, "tail", "bucket"])
+
+    dealt = rows.select("id", "h", "body", *order[:2]).mapInArrow(deal, "id bigint, h bigint, body string, nil int, down bigint, tail boolean, bucket int")
+    return dealt.repartitionById(max(1, len(bounds)), "bucket").sortWithinPartitions("tail", "nil", "down", "h").select("id", "h", "body", "tail")
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
 
     The edited text has its last floor(n_chars / 3) characters replaced by the
     first as many (or all) of the next document's; next as in neighbours(). A
     null text is empty; a text without words has a fingerprint of zeros. Equal
-    texts have equal fingerprints. Repeated rows follow each other and come back
-    as often. An empty table gives no rows; other columns are not read.
+    texts have equal fingerprints. class_id is the smallest key of the documents
+    that are linked to this one by a shared band of their signatures and a Jaccard
+    similarity of `similarity` or more (null only if none has a key). Repeated rows
+    follow each other and come back as often. An empty table gives no rows; other
+    columns are not read. Keys are cast to bigint; one that is no number is an error
+    under ANSI.
     """
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    with Scratch(docs.sparkSession) as scratch:
+        # As rows(): null is the empty text, so that a text has one hash.
+        texts = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+        rows, facts = links.clusters(texts, *METHOD, key="id", text="body", similarity=similarity, scratch=scratch)
+        linked = materialize(links.followers(rows, facts), "linked")
+    del rows, facts
+    release(docs.sparkSession)
+    schema = "id bigint, h bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -111,17 +128,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             for some in range(0, batch.num_rows, 1024):
                 part = batch.slice(some, 1024)
-                ids, texts, tails = (part.column(i).to_pylist() for i in range(3))
-                signature, words = signatures(part.column(1))
+                ids, hashes, texts, tails = (part.column(i).to_pylist() for i in range(4))
+                signature, words = signatures(part.column(2))
                 marks = short(signature, words)
                 if held:
-                    ids, texts, tails = [held[0], *ids], [held[1], *texts], [False, *tails]
-                    marks, words = np.vstack([held[2][None], marks]), np.append(held[3], words)
+                    ids, hashes, texts, tails = [held[0], *ids], [held[1], *hashes], [held[2], *texts], [False, *tails]
+                    marks, words = np.vstack([held[3][None], marks]), np.append(held[4], words)
                 last = next((i for i, t in enumerate(tails) if t), None)
                 upto = len(ids) - 1 if last is None else last
                 if ended or upto < 1 and last is None:
                     if not ended:
-                        held = ids[-1], texts[-1], marks[-1], words[-1]
+                        held = ids[-1], hashes[-1], texts[-1], marks[-1], words[-1]
                     continue
                 ended = last is not None
                 edited = []
@@ -134,32 +151,35 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[:upto], pa.int64()),
+                        pa.array(hashes[:upto], pa.int64()),
                         pa.array([len(t) for t in texts[:upto]], pa.int64()),
-                        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                        pa.array(_hex(own), pa.string()),
-                        pa.array(_hex(e_marks), pa.string()),
+                        pa.array([hashlib.sha256(e.encode()).digest() for e in edited], pa.binary()),
+                        _bytes(own),
+                        _bytes(e_marks),
                         pa.array(likeness(own, own_words, e_marks, e_words), pa.float64()),
                         pa.array(likeness(own, own_words, after, after_words), pa.float64()),
                     ],
-                    ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    ["id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
-                held = None if ended else (ids[-1], texts[-1], marks[-1], words[-1])
+                held = None if ended else (ids[-1], hashes[-1], texts[-1], marks[-1], words[-1])
 
-    return neighbours(docs, key, text).mapInArrow(run, schema).withColumnRenamed("id", key)
+    found = materialize(neighbours(docs, key, text).mapInArrow(run, schema), "fingerprints")
+    release(docs.sparkSession)
+    linked = linked.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"), "first")
+    joined = found.join(linked, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")), "left")
+    text_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return joined.select(F.col("id").alias(key), "n_chars", *map(text_of, ("edited_sha256", "fingerprint", "edited_fingerprint")), "near_edited", "near_next", F.when(F.col("l_h").isNull(), F.col("id")).otherwise(F.col("first")).alias("class_id"))
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """Near-duplicate classes by signature bands joined in Spark, Jaccard-verified; see links.classes."""
+def banded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each set of shingles, and the band hashes of each signature."""
+    signature, some = signatures(texts)
+    nodes = np.concatenate([links.digests(h, p) for h, p in sets(texts)] or [np.zeros(0, np.uint64)])
+    return nodes, np.where(some[:, None], links.band(signature[:, : BANDS * ROWS], BANDS), np.uint64(0))
 
-    def banded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        signature, some = signatures(texts)
-        nodes = np.concatenate([links.digests(h, p) for h, p in sets(texts)] or [np.zeros(0, np.uint64)])
-        return nodes, np.where(some[:, None], links.band(signature, bands), np.uint64(0))
 
-    def features(texts: pa.Array) -> list[np.ndarray]:
-        return [h[a:b] for h, p in sets(texts) for a, b in zip(p[:-1], p[1:], strict=True)]
-
-    return links.classes(docs, banded, features, jaccard, shortlist, key, text, similarity)
+def features(texts: pa.Array) -> list[np.ndarray]:
+    return [h[a:b] for h, p in sets(texts) for a, b in zip(p[:-1], p[1:], strict=True)]
 
 
 def sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,3 +199,7 @@ def shortlist(one: list[np.ndarray], two: list[np.ndarray], similarity: float) -
     a, b = (np.array([len(x) for x in side], float) for side in (one, two))
     both = links.shared(*([(x, np.ones(len(x))) for x in side] for side in (one, two)))
     return np.argwhere((both > 0) & (both * (1 + 1e-4) >= similarity * (a[:, None] + b[None] - both))).tolist()
+
+
+#: What links.clusters needs.
+METHOD = banded, features, jaccard, shortlist

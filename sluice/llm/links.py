@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from sluice.llm import vectors
 from sluice.llm.store import Scratch, materialize, release
 
-#: Rounds of leaders; members compared with one leader in a row; nodes of a block's
-#: side, and their bytes, on average at most.
-ORDERS, BLOCK, INSIDE, INSIDE_BYTES = 3, 256, 512, 8 << 20
+#: Rounds of leaders; nodes of a block's side, and their bytes, on average at most.
+ORDERS, INSIDE, INSIDE_BYTES = 3, 512, 8 << 20
+#: Bits of the map that tells most texts of no candidate before the others are
+#: shuffled (16 MB, however many texts there are), and those of one bitmap aggregate.
+MARKS, BITMAP = 1 << 27, 1 << 15
 
 
 def band(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -88,7 +90,7 @@ def clusters(docs: DataFrame, bands: Callable, features: Callable, similar: Call
     # At most as many buckets for a node as there are bands.
     members = scratch.keep(some.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("bucket").alias("buckets")), "members")
     wanted = members.select(F.col("node").alias("t_node")).join(nodes, F.col("t_node") == F.col("node")).select("t_node", F.col("own.id").alias("t_id"), F.col("own.h").alias("t_h"))
-    read = source.join(wanted, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
+    read = marked(source, wanted).join(wanted, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
     texts = scratch.keep(read.groupBy("t_node").agg(F.first("body").alias("body")), "texts")
     release(docs.sparkSession)
     label = members.select("node", F.col("node").alias("label"))
@@ -109,6 +111,27 @@ def clusters(docs: DataFrame, bands: Callable, features: Callable, similar: Call
     return rows.select("id", "h", "node"), facts
 
 
+def marked(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of source whose h is one of wanted's t_h, and some others.
+
+    Only a bitmap of hashes is sent, of a fixed size; so not all texts have to be
+    shuffled to find the candidates'.
+    """
+    place = F.pmod("t_h", F.lit(MARKS)).alias("p")
+    parts = wanted.select(place).groupBy(F.expr(f"p div {BITMAP}").alias("part")).agg(F.bitmap_construct_agg(F.expr(f"p % {BITMAP}")).alias("bits")).collect()
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in parts:  # MARKS / BITMAP rows at most
+        bits[r["part"] * BITMAP // 8 :][: BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    sent = source.sparkSession.sparkContext.broadcast(bits)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(1).to_numpy().view(np.uint64) % np.uint64(MARKS)
+            yield batch.filter(pa.array((sent.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+    return source.mapInArrow(some, "id bigint, h bigint, body string")
+
+
 def classes(docs: DataFrame, *method, key: str = "doc_id", **more) -> DataFrame:
     """key, class_id, copy_of, class_node for every row of docs; see clusters().
 
@@ -170,13 +193,12 @@ def mixed(named: DataFrame, turn: int) -> DataFrame:
 def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Callable, similarity: float) -> DataFrame:
     """leader, node of the pairs whose texts (t_node, body) are similar.
 
-    A leader's members are cut into blocks of about BLOCK; each block reads the
-    leader's text once and streams its members, so a leader of any number of
-    members is neither collected nor one task's.
+    A leader's members are dealt to as many blocks as there are shuffle partitions;
+    each block reads the leader's text once and streams its members, so a leader of
+    any number of members is neither collected nor one task's.
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).withColumnRenamed("leader", "d_leader")
-    dealt = pairs.join(degree, F.col("leader") == F.col("d_leader")).select("leader", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    dealt = pairs.select("leader", "node", F.pmod(F.xxhash64("node"), F.lit(n)).alias("block"))
     asked = dealt.groupBy("leader", "block").agg(F.lit(0).alias("role")).select("leader", "block", "role", F.col("leader").alias("want")).unionByName(dealt.select("leader", "block", F.lit(1).alias("role"), F.col("node").alias("want")))
     read = asked.join(texts, F.col("want") == F.col("t_node")).select("leader", "block", "role", "want", "body")
     dealt_out = read.repartition(n, "leader", "block").sortWithinPartitions("leader", "block", "role")
