@@ -21,7 +21,6 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
 
@@ -29,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sluice.llm import kept
+
 #: Bounds of what a worker keeps; they change no result. The transducer starts anew
 #: after RENEW transitions for each of MAX_STATES that were not kept; of pre-tokens the
 #: last two lots of MAX_WORDS are kept. SOON: bytes after which a walk without states
@@ -350,12 +351,15 @@ class Codec:
         return "".join(self.decode_stream(ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process. What it keeps lives as long as the worker,
-    so looking for garbage among it often would be wasted."""
-    gc.set_threshold(1_000_000, 50, 100)
-    return Codec(path, pattern)
+    """One codec for each worker process, until another operator's tasks come. What it
+    keeps lives as long, so looking for garbage among it often would be wasted."""
+
+    def make() -> Codec:
+        gc.set_threshold(1_000_000, 50, 100)
+        return Codec(path, pattern)
+
+    return kept.keep(("bpe", path, pattern), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, verify: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm import vectors
+from sluice.llm import kept, vectors
 from sluice.llm.store import Scratch, materialize, release
 
 #: Rounds of leaders; nodes of a block's side, and their bytes, on average at most.
@@ -73,6 +73,7 @@ def clusters(docs: DataFrame, bands: Callable, features: Callable, similar: Call
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             nodes, hashes = bands(batch.column(2))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(hashes.astype(np.int64).ravel()), hashes.shape[1]).cast(pa.list_(pa.int64()))
@@ -125,6 +126,7 @@ def marked(source: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = source.sparkSession.sparkContext.broadcast(bits)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             p = batch.column(1).to_numpy().view(np.uint64) % np.uint64(MARKS)
             yield batch.filter(pa.array((sent.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1))
@@ -204,6 +206,7 @@ def verified(texts: DataFrame, pairs: DataFrame, features: Callable, similar: Ca
     dealt_out = read.repartition(n, "leader", "block").sortWithinPartitions("leader", "block", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         held, own = None, None
         for batch in batches:
             found: tuple[list[int], list[int]] = ([], [])
@@ -274,6 +277,7 @@ def inside(texts: DataFrame, rows: DataFrame, features: Callable, similar: Calla
                 yield a, b
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         held, own = None, []
         packed = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["leader", "node"])
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm import links, vectors
+from sluice.llm import kept, links, vectors
 from sluice.llm.store import Scratch, materialize
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
@@ -105,6 +105,7 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kind is 0 for a shingle, 1 for the number of texts and 2 for that of all shingles.
     """
+    kept.let_go()
     n, total, cut, seen, times, missed = 0, 0, 0, np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     for batch in batches:
         n += batch.num_rows

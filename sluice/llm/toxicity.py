@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import kept
 from sluice.llm.store import materialize
 from sluice.llm.trees import Boosted, Isotonic
 
@@ -118,6 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = materialize(labelled.groupBy("l_id", "y", "part").agg(F.min("body").alias("body")).select("y", "part", "body"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for y, part, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -136,6 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     lexicon = {r["term"]: r["odds"] for r in top}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             x = features(batch.column(2).to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["y", "part", "x"])
@@ -160,6 +163,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
@@ -176,6 +180,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.let_go()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)

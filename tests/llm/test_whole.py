@@ -1,6 +1,7 @@
 """Cases that a cut in an operator would lose."""
 
 import random
+import weakref
 import zlib
 from collections import Counter
 from math import log10
@@ -11,8 +12,8 @@ import pytest
 
 import plain
 
-pytest.importorskip("public_tokenizers")
-from sluice.llm import links, neardup, ngrams, vectors  # noqa: E402
+tokenizers = pytest.importorskip("public_tokenizers")
+from sluice.llm import bpe, links, neardup, ngrams, vectors  # noqa: E402
 
 
 def frame(spark, docs):
@@ -99,3 +100,11 @@ def test_document_frequencies_of_late_shingles(monkeypatch):
     (_, _, hashes, _), = neardup.bags(pa.array([late]))
     df = dict(zip(found.column(0).to_numpy().view(np.uint64).tolist(), found.column(1).to_pylist()))
     assert 30 - n / (4 * neardup.RARE) <= df[int(hashes[0])] <= 30
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    """Workers are used again by later stages, in whose memory the codec would count."""
+    held = weakref.ref(bpe.codec(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN))
+    assert held() is bpe.codec(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    list(neardup.frequencies(iter([])))
+    assert held() is None
