@@ -14,6 +14,7 @@ many texts share nor a text that is repeated within itself hides a near copy.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kept, links, vectors
-from sluice.llm.store import Scratch, materialize
+from sluice.llm.store import Scratch, materialize, read_bytes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Shingles in fewer than one text in RARE all have the largest idf; the largest is LIFT above 1.
 RARE, LIFT, DAMP = 1000, 0.1, 0.05
 #: Shingles that a partition counts at a time; entries of the table of frequent shingles, at most.
 HELD, TABLE = 1_500_000, 1_000_000
+#: Stored bytes that one task counts, about at least and at most; between them there is a task for each core.
+COUNTED = 4 << 20, 32 << 20
 SAMPLES = BANDS * ROWS
 U32, U64 = np.uint32, np.uint64
 
@@ -131,10 +134,14 @@ def idf(docs: DataFrame, text: str = "text") -> Idf:
 
     A shingle in more than n / r of all texts is in more than m / r of the m texts of
     some partition, so each partition sends only those; what the others hold back is
-    less than the sum of their m / r.
+    less than the sum of their m / r. A partition of few texts would send most of its
+    shingles, so neighbouring partitions are counted as one, however small the table's
+    splits are.
     """
-
-    sent = docs.select(F.col(text).cast("string")).mapInArrow(frequencies, "hash bigint, df bigint, kind int")
+    least, most = COUNTED
+    read = read_bytes(docs)
+    tasks = max(1, math.ceil(read / most), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(read / least)))
+    sent = docs.select(F.col(text).cast("string")).coalesce(min(tasks, (1 << 31) - 1)).mapInArrow(frequencies, "hash bigint, df bigint, kind int")
     sums = materialize(sent.groupBy("hash", "kind").agg(F.sum("df").alias("df")), "frequencies")
     totals = {r["kind"]: r["df"] for r in sums.where("kind > 0").collect()}  # two rows
     n = totals.get(1, 0)

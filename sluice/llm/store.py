@@ -38,6 +38,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def read_bytes(df: DataFrame) -> int:
+    """The stored bytes of the tables that df reads, as the optimiser knows them; very many where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _write(df: DataFrame, path: str) -> DataFrame:
     """df written to path and read back.
 
@@ -45,9 +51,7 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     (spark.sql.files.maxPartitionBytes each), and three for each core at least:
     small files cost the file system some calls each.
     """
-    spark, schema = df.sparkSession, df.schema
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    spark, schema, read = df.sparkSession, df.schema, read_bytes(df)
     each = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     files = max(3 * spark.sparkContext.defaultParallelism, math.ceil(read / each))
     df.coalesce(min(files, (1 << 31) - 1)).write.parquet(path)

@@ -14,6 +14,7 @@ import plain
 
 tokenizers = pytest.importorskip("public_tokenizers")
 from sluice.llm import bpe, links, neardup, ngrams, vectors  # noqa: E402
+from sluice.llm.store import materialize  # noqa: E402
 
 
 def frame(spark, docs):
@@ -102,6 +103,26 @@ def test_document_frequencies_of_late_shingles(monkeypatch):
     assert 30 - n / (4 * neardup.RARE) <= df[int(hashes[0])] <= 30
 
 
+def test_document_frequencies_sent_by_small_splits(spark, tmp_path, monkeypatch):
+    """A table in many small splits sends its frequent shingles, not all of them."""
+    passage = "a passage that many have"
+    docs = [(i, " ".join(f"own{i}x{j}" for j in range(40)) if i % 50 else passage) for i in range(8000)]
+    frame(spark, docs).repartition(100).write.parquet(str(tmp_path / "docs"))
+    sent = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: sent.append(df.count()) or materialize(df, name))
+    held = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        table = spark.read.parquet(str(tmp_path / "docs"))
+        assert table.rdd.getNumPartitions() == 100
+        got = neardup.idf(table)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", held)
+    (_, _, hashes, _), = neardup.bags(pa.array([passage]))
+    assert got(hashes) == pytest.approx(1 + neardup.LIFT * np.log(50) / np.log(neardup.RARE))
+    assert sent[0] < 100
+
+
 def test_a_worker_lets_go_of_what_another_operator_kept():
     """Workers are used again by later stages, in whose memory the codec would count."""
     held = weakref.ref(bpe.codec(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN))
