@@ -3,7 +3,8 @@
 A text is cut into pre-tokens by a pattern; each is read byte by byte. Let
 last(k) be the last token of the encoding of a pre-token's first k bytes. It is
 the one token t that ends at k, encodes to itself, and fits after last(k - |t|):
-two tokens fit when the merges leave their joined bytes as those two. So the
+two tokens fit when the merges leave their joined bytes as those two. An automaton
+gives the tokens that end at k, whatever came before. So the
 encodings of all prefixes form a tree, and a later token can only start where
 some longer token may still begin. Tokens on the way from the root to the
 deepest node that all those places have in common are certain and are emitted.
@@ -20,7 +21,8 @@ import base64
 import gc
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from operator import itemgetter
 
@@ -35,7 +37,9 @@ from sluice.llm import kept
 #: last two lots of MAX_WORDS are kept. SOON: bytes after which a walk without states
 #: looks which tokens are certain.
 RENEW, SOON = 50, 64
-MAX_STATES, MAX_FITS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 150_000, 200_000, 48
+MAX_STATES, MAX_FITS, MAX_STEPS, MAX_WORDS, MAX_WORD_CHARS = 30_000, 300_000, 150_000, 200_000, 48
+#: Stands for the token before the first.
+FIRST = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,11 +53,12 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
-        self.beginnings = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: dict[tuple[bytes, bool], list[tuple[int, bytes]]] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        #: For each token that was asked for: whether it can stand after the tokens met so far.
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.held = 0
 
     def merge(self, data: bytes, upto: int = 1) -> list[bytes]:
         """The encoding by its definition: the pair of lowest rank merges first.
@@ -91,11 +96,18 @@ class Merges:
             self._edges[token, right] = found
         return found
 
-    def fit(self, a: bytes, b: bytes) -> bool:
-        """Whether token b can stand after token a (or first, where a is empty)."""
-        found = self.whole(b) and (not a or self._fit(a, b))
-        if len(self.fits) < MAX_FITS:
-            self.fits[a, b] = found
+    def fit(self, a: int, b: int) -> bool:
+        """Whether token b, which is whole, can stand after token a (or first, where a is FIRST).
+
+        When MAX_FITS answers are held all go, so that those held follow the data.
+        """
+        found = a == FIRST or self._fit(self.tokens[a], self.tokens[b])
+        if self.held >= MAX_FITS:
+            for answers in self.fits.values():
+                answers.clear()
+            self.held = 0
+        self.fits[b][a] = found
+        self.held += 1
         return found
 
     def _fit(self, a: bytes, b: bytes) -> bool:
@@ -120,71 +132,147 @@ class Merges:
                 j += 1
 
 
+class Ends:
+    """The beginnings of tokens with which the bytes read so far end (Aho and Corasick).
+
+    A node is the longest of them, those shorter are on its way back by `back`; node
+    0 is the empty one. From a node that is `open` a longer token may still come.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges, self.edges, at = merges, {}, {}
+        self.depth, self.back, self.open = array("i", [0]), array("i", [0]), bytearray(1)
+        for token, rank in merges.ranks.items():
+            node = 0
+            for byte in token:
+                if (after := self.edges.get(node << 8 | byte)) is None:
+                    after = self.edges[node << 8 | byte] = len(self.depth)
+                    self.open[node] = 1
+                    self.depth.append(self.depth[node] + 1)
+                    self.open.append(0)
+                node = after
+            at[node] = rank
+        self.back.extend([0] * (len(self.depth) - 1))
+        for key in sorted(self.edges, key=lambda key: self.depth[key >> 8]):
+            if node := key >> 8:
+                self.back[self.edges[key]] = self._after(self.back[node], key & 255)
+        self._at = at
+        #: For each node that was met the whole tokens that end there, the longest first:
+        #: length, token, which tokens it fits after.
+        self.tokens: list[tuple[tuple[int, int, dict[int, bool]], ...] | None] = [None] * len(self.depth)
+        self.step: dict[int, int] = {}
+
+    def _after(self, node: int, byte: int) -> int:
+        while (found := self.edges.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.back[node]
+        return found
+
+    def _tokens(self, node: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
+        if (found := self.tokens[node]) is None:
+            found = self._tokens(self.back[node]) if node else ()
+            token = self._at.get(node)
+            if token is not None and self.merges.whole(self.merges.tokens[token]):
+                found = ((self.depth[node], token, self.merges.fits.setdefault(token, {})), *found)
+            self.tokens[node] = found
+        return found
+
+    def after(self, key: int) -> int:
+        """The node after a node and a byte (node << 8 | byte), which step then holds."""
+        found = self._after(key >> 8, key & 255)
+        self._tokens(found)
+        if len(self.step) >= MAX_STEPS:
+            self.step.clear()
+        self.step[key] = found
+        return found
+
+
 class State:
-    """The token emitted last, the bytes since, for each of their prefixes the last
-    token, and the places from which a longer token may still come."""
+    """The bytes since the token emitted last; that token and, for each of their
+    prefixes, the last token; the beginnings of longer tokens with which they end."""
 
-    __slots__ = ("before", "pending", "last", "live", "step", "rest")
+    __slots__ = ("pending", "last", "node", "step", "rest")
 
-    def __init__(self, before: bytes, pending: bytes, last: tuple[bytes, ...], live: tuple[int, ...]):
-        self.before, self.pending, self.last, self.live = before, pending, last, live
+    def __init__(self, pending: bytes, last: tuple[int, ...], node: int):
+        self.pending, self.last, self.node = pending, last, node
         self.step: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.rest: tuple[int, ...] | None = None
+        self.rest: list[int] | None = None
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
-        self.states: dict[tuple[bytes, bytes], State] = {}
+        self.ends = Ends(self.merges)
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.states: dict[tuple[int, bytes], State] = {}
         self.clear()
 
     def clear(self) -> None:
         """Lets all states go."""
         for state in self.states.values():
             state.step = {}
-        self.start = State(b"", b"", (), ())
-        self.states = {(b"", b""): self.start}
+        self.start = State(b"", (FIRST,), 0)
+        self.states = {(FIRST, b""): self.start}
         self.walked = 0
 
-    @staticmethod
-    def _path(last: tuple[bytes, ...], k: int) -> list[int]:
-        """The places from k back to 0 at which tokens end."""
-        path = [k]
+    def _tokens(self, last: Sequence[int], k: int) -> list[int]:
+        """The tokens of the first k bytes."""
+        sizes, found = self.sizes, []
+        while k:
+            found.append(last[k])
+            k -= sizes[last[k]]
+        found.reverse()
+        return found
+
+    def _read(self, last: list[int], node: int, data: bytes) -> int:
+        """Adds to last the last token after each byte of data; the node at its end."""
+        step, tokens, fit = self.ends.step, self.ends.tokens, self.merges.fit
+        for byte in data:
+            key = node << 8 | byte
+            if (node := step.get(key)) is None:
+                node = self.ends.after(key)
+            for size, token, fits in tokens[node]:
+                left = last[-size]
+                if (fitting := fits.get(left)) is None:
+                    fitting = fit(left, token)
+                if fitting:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no token for byte {byte}")
+        return node
+
+    def _certain(self, last: Sequence[int], node: int) -> tuple[int, int]:
+        """The deepest place that the ways back from all places share from which a longer
+        token may still come, and the node that stands for these."""
+        depth, back, is_open, sizes = self.ends.depth, self.ends.back, self.ends.open, self.sizes
+        while not is_open[node]:
+            node = back[node]
+        n = k = cut = len(last) - 1
+        on = {0}
         while k:
-            k -= len(last[k - 1])
-            path.append(k)
-        return path
+            on.add(k)
+            k -= sizes[last[k]]
+        at = node
+        while at:
+            if is_open[at]:
+                k = n - depth[at]
+                while k not in on:
+                    k -= sizes[last[k]]
+                cut = min(cut, k)
+            at = back[at]
+        return cut, node
 
     def _advance(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        m, data, last, token = self.merges, state.pending + bytes((byte,)), state.last, None
-        n, ranks, beginnings = len(data), m.ranks, m.beginnings
-        live, fits = [], m.fits
-        for k in (*state.live, n - 1):  # no token can come from another place
-            end = data[k:]
-            if end in beginnings:
-                live.append(k)
-            if token is None and end in ranks:
-                left = last[k - 1] if k else state.before
-                if (fit := fits.get((left, end))) is None:
-                    fit = m.fit(left, end)
-                if fit:
-                    token = end
-        if token is None:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        last = (*last, token)
-        # The deepest place that the ways back from all live places share.
-        path = self._path(last, n)
-        cut = n
-        for k in live:
-            while k not in path:
-                k -= len(last[k - 1])
-            cut = min(cut, k)
-        sent = tuple([ranks[last[k - 1]] for k in reversed(path) if 0 < k <= cut])
-        at = last[cut - 1] if cut else state.before, data[cut:]
+        last = list(state.last)
+        node = self._read(last, state.node, bytes((byte,)))
+        cut, node = self._certain(last, node)
+        at = last[cut], (state.pending + bytes((byte,)))[cut:]
         if (after := self.states.get(at)) is None:
-            after = self.states[at] = State(*at, last[cut:], tuple([k - cut for k in live]))
-        state.step[byte] = after, sent
-        return after, sent
+            after = self.states[at] = State(at[1], tuple(last[cut:]), node)
+        state.step[byte] = found = after, tuple(self._tokens(last, cut))
+        return found
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -200,8 +288,7 @@ class Transducer:
             if sent:
                 ids += sent
         if state.rest is None:
-            path = self._path(state.last, len(state.pending))
-            state.rest = tuple([self.merges.ranks[state.last[k - 1]] for k in reversed(path) if k])
+            state.rest = self._tokens(state.last, len(state.pending))
         ids += state.rest
         return ids
 
@@ -210,38 +297,15 @@ class Transducer:
 
         Every SOON bytes the certain tokens are emitted and only what is pending stays.
         """
-        m, data, last, live, before = self.merges, state.pending, list(state.last), list(state.live), state.before
-        ranks, beginnings, fits, ids = m.ranks, m.beginnings, m.fits, []
+        last, node, ids = list(state.last), state.node, []
         self.walked += len(rest)
         for first in range(0, len(rest), SOON):
-            data += rest[first : first + SOON]
-            for n in range(len(last) + 1, len(data) + 1):
-                live.append(n - 1)
-                token, still = None, []
-                for k in live:
-                    end = data[k:n]
-                    if end in beginnings:
-                        still.append(k)
-                    if token is None and end in ranks:
-                        left = last[k - 1] if k else before
-                        if (fit := fits.get((left, end))) is None:
-                            fit = m.fit(left, end)
-                        if fit:
-                            token = end
-                if token is None:
-                    raise ValueError(f"the vocabulary has no token for byte {data[n - 1]}")
-                last.append(token)
-                live = still
-            path = self._path(last, len(data))
-            if first + SOON < len(rest):
-                cut, on = len(data), set(path)
-                for k in live:
-                    while k not in on:
-                        k -= len(last[k - 1])
-                    cut = min(cut, k)
-                ids += [ranks[last[k - 1]] for k in reversed(path) if 0 < k <= cut]
-                before, data, last, live = last[cut - 1] if cut else before, data[cut:], last[cut:], [k - cut for k in live]
-        return ids + [ranks[last[k - 1]] for k in reversed(path) if k]
+            if first:
+                cut, node = self._certain(last, node)
+                ids += self._tokens(last, cut)
+                del last[:cut]
+            node = self._read(last, node, rest[first : first + SOON])
+        return ids + self._tokens(last, len(last) - 1)
 
 
 class Utf8Stream:
